@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skerry.llm import p2, p4
+from skerry.llm import p2, p4, p5
 
-MODULES = (p2, p4)
+MODULES = (p2, p4, p5)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
