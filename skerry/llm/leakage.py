@@ -7,7 +7,8 @@ partitioned by size: the longer one is, the more chance hits it has, so the larg
 sketch that is looked up.  Matches are verified on the words themselves: the shingles both sides
 share are extended over single changed, added or misspelled words to the longest run.
 
-Sentences that stand in several items count for nothing.  The items are a small fixed table whose
+Sentences that stand in several items count for nothing, and so do shingles that several items
+have (question frames).  The items are a small fixed table whose
 size is checked; documents are read once, in place, without a shuffle.
 """
 
@@ -28,8 +29,10 @@ from skerry.llm.records import hash64, words
 SHINGLE = 5
 #: Words of a passage: the shortest leak that counts.
 PASSAGE = 15
-#: Size classes of documents by words, and the minima kept of each passage there.
-SIZES = ((0, 11), (1_000, 11), (10_000, 11))
+#: Size classes of documents by words, and the minima of each passage that are looked up there.
+SIZES = ((0, 6), (1_000, 8), (10_000, 11))
+#: Shingles that only this item has and a document must share with it.
+EVIDENCE = 5
 #: Most items that are sent to every task.
 MAX_ITEMS = 200_000
 
@@ -70,17 +73,20 @@ class Items:
             own.append([self.vocab[w] if ok else 0 for w, ok in zip(ws, mask, strict=True)])
         self.weights = np.array([0, *(np.uint64(hash64(w) & (2**64 - 1)) for w in self.vocab)], dtype=np.uint64)
         kept: dict[int, set[int]] = {k: set() for _, k in SIZES}
-        for n, codes in enumerate(own):
-            hashes = self.hashes(np.array(codes, dtype=np.int64))
-            for p, h in enumerate(hashes.tolist()):
+        hashed = [self.hashes(np.array(codes, dtype=np.int64)).tolist() for codes in own]
+        held = Counter(h for hs in hashed for h in set(hs))
+        span = PASSAGE - SHINGLE + 1
+        for n, hs in enumerate(hashed):
+            hs = [h if held[h] == 1 else 0 for h in hs]
+            for p, h in enumerate(hs):
                 if h:
                     at.setdefault(h, []).append((n, p))
-            span = PASSAGE - SHINGLE + 1
-            for p in range(max(1, len(hashes) - span + 1)):
-                passage = [h for h in hashes[p : p + span].tolist() if h]
+            for p in range(max(1, len(hs) - span + 1)):
+                passage = [h for h in hs[p : p + span] if h]
                 for k in kept:
                     kept[k].update(sorted(passage)[:k])
         self.at = at
+        self.unique = np.array(sorted(at), dtype=np.uint64)
         self.sketches = {k: np.array(sorted(v), dtype=np.uint64) for k, v in kept.items()}
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
@@ -99,6 +105,11 @@ class Items:
         return h
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of the values are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def _forward(a: list[str], i: int, b: list[str], j: int, step: int) -> list[bool]:
     """Follow the run from (i, j) in direction ``step``: True for each equal word, False for each
     edit, until edits come too close together."""
@@ -178,12 +189,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = PASSAGE, r
                 if not len(sketch) or not len(places):
                     continue
                 hp = h[places]
-                found = sketch[np.minimum(np.searchsorted(sketch, hp), len(sketch) - 1)] == hp
+                candidates = {n for x in hp[_among(hp, sketch)].tolist() for n, _ in known.at[x]}
+                if not candidates:
+                    continue
+                shared = _among(hp, known.unique)
                 hits: dict[int, list[tuple[int, int]]] = {}
-                for p, x in zip(places[found].tolist(), hp[found].tolist(), strict=True):
+                for p, x in zip(places[shared].tolist(), hp[shared].tolist(), strict=True):
                     for n, q in known.at[x]:
-                        hits.setdefault(n, []).append((q, p))
+                        if n in candidates:
+                            hits.setdefault(n, []).append((q, p))
                 for n, where in hits.items():
+                    if len({q for q, _ in where}) < EVIDENCE:
+                        continue
                     run, equal = best_run(known.words[n], ws, where, rate)
                     if run >= least:
                         out.append((doc, known.ids[n], run, equal))
