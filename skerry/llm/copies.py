@@ -43,10 +43,12 @@ def _letters(ws: list[str]) -> bytes:
     return bytes(counts) + "".join(sorted(rest)).encode()
 
 
-def canonical(title: str, authors: str | None, doi: str | None) -> tuple[bytes, str]:
-    """Canonical bytes and the words (title, then authors after a bar) in text order."""
-    t, a = words(title), author_words(authors)
-    return _letters(t) + b"|" + _letters(a) + b"|" + bare_doi(doi).encode(), " ".join(t) + "|" + " ".join(a)
+def canonical(title: list[str], authors: list[str], doi: str | None) -> tuple[bytes, str, int]:
+    """Canonical bytes, the words (title, then authors after a bar) in text order, and the
+    fingerprint of both with the words sorted."""
+    canon = _letters(title) + b"|" + _letters(authors) + b"|" + bare_doi(doi).encode()
+    key = " ".join(sorted(title)) + "|" + " ".join(sorted(authors))
+    return canon, " ".join(title) + "|" + " ".join(authors), hash64(canon + key.encode())
 
 
 def canonical_rows(df: DataFrame, rewriter: Rewriter) -> DataFrame:
@@ -56,9 +58,8 @@ def canonical_rows(df: DataFrame, rewriter: Rewriter) -> DataFrame:
         for batch in batches:
             out = []
             for seq, title, authors, doi in zip(*batch, strict=True):
-                canon, form = canonical(rewriter(title), rewriter(authors), doi)
-                key = "|".join(" ".join(sorted(x.split())) for x in form.split("|"))
-                out.append((seq, hash64(canon + key.encode()), canon, form))
+                canon, form, fp = canonical(words(rewriter(title)), author_words(rewriter(authors)), doi)
+                out.append((seq, fp, canon, form))
             yield out
 
     return map_lists(df.select("record_sequence", "title", "authors", "doi").where("title is not null and trim(title) <> ''"), make, _FORMS)

@@ -7,13 +7,13 @@ from urllib.parse import unquote
 
 import xxhash
 
-from skerry.llm.lookalikes import Rewriter
 from skerry.operators.multivalue import split_authors
 
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _DOI_PREFIX = re.compile(r"^(?:https?\W{0,4})?(?:www\.)?(?:dx\.)?(?:doi\.org/*)?\s*(?:doi)?[\s:=/]*", re.I)
 _DOI_END = " \t\r\n.,;:)]}>\"'/"
+_NO_WORD = re.compile(r"[^\w\n]+|_+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+")
 
 
@@ -40,12 +40,12 @@ def bare_doi(text: str | None) -> str:
     return _DOI_PREFIX.sub("", unquote(text).strip()).strip().rstrip(_DOI_END).casefold()
 
 
-def sentences(text: str | None, rewriter: Rewriter | None = None) -> list[str]:
+def sentences(text: str | None) -> list[str]:
     """The sentences of a text as case-folded words with single blanks; empty ones are left out."""
     if not text:
         return []
-    text = rewriter(text) if rewriter else text
-    return [s for part in _SENTENCE.split(text) if (s := " ".join(words(part)))]
+    lines = _NO_WORD.sub(" ", _SENTENCE.sub("\n", _APOSTROPHE.sub("", text.casefold()))).split("\n")
+    return [s for x in lines if (s := x.strip())]
 
 
 def same_words(a: list[str], b: list[str]) -> bool:
