@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skerry.plans import audit, cleaning, multivalue
+from skerry.plans import annotation, audit, cleaning, multivalue
 
-MODULES = (multivalue, cleaning, audit)
+MODULES = (multivalue, cleaning, audit, annotation)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = "p3_found"
+FLAGSHIP = "species_assignments"
