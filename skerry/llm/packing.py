@@ -180,7 +180,7 @@ def packed(counts: DataFrame, capacities: DataFrame, block_items: int = BLOCK_IT
     blocks = F.create_map(*[F.lit(x) for cid, _ in caps for x in (cid, max(1, -(-totals.get(cid, 0) // block_items)))])
     # a full piece is a container of its own; the rest is dealt to blocks
     full = items.where(F.col("piece_tokens") == F.col("capacity_tokens"))
-    full = full.withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("full"), "doc_id", "piece_no")).withColumn("container_tokens", F.col("piece_tokens"))
+    full = full.withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("full"), F.monotonically_increasing_id())).withColumn("container_tokens", F.col("piece_tokens"))
     dealt = items.where(F.col("piece_tokens") < F.col("capacity_tokens")).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", "capacity_id"), blocks[F.col("capacity_id")]).cast("int"))
     open_ = dealt.groupBy("capacity_id", "block").applyInPandas(_pack, _PACKED)
     return open_.unionByName(full.select(*open_.columns))

@@ -139,7 +139,7 @@ def residue(documents: DataFrame) -> DataFrame:
     Needs ``doc_id, text``; other columns are ignored.  NULL and empty texts are no cases, repeated
     rows give a row each, an empty table none.  Whole texts are searched, whatever their length.
     """
-    filler = frozenset(filler_vocabulary(documents))
+    filler = frozenset(["lorem", "ipsum", *filler_vocabulary(documents)])
 
     def find(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:

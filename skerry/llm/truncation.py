@@ -72,9 +72,10 @@ def _tail(n: list[int], risk: list[int], h: list[float]) -> list[float]:
     return out
 
 
-def significant_lengths(lengths: DataFrame, rate: float = 0.001, least: int = 4) -> DataFrame:
+def significant_lengths(lengths: DataFrame, rate: float = 0.001, least: int = 4, times: float = 4.0) -> DataFrame:
     """``source_file, measure, length, n, at_risk, hazard, p_value`` of the lengths at which texts end
-    more often than at neighbouring ones, at a false discovery rate of ``rate``.
+    more often than at neighbouring ones, at a false discovery rate of ``rate``, with a hazard at
+    least ``times`` theirs.
 
     The hazards are windows over counts by length, one partition for each source and measure;
     their size is the number of different lengths, whatever the number of texts.  Lengths of
@@ -98,16 +99,16 @@ def significant_lengths(lengths: DataFrame, rate: float = 0.001, least: int = 4)
 
     def test(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for source, measure, length, n, at_risk, h0 in batches:
-            yield list(zip(source, measure, length, n, at_risk, [float(k / r) for k, r in zip(n, at_risk, strict=True)], _tail(n, at_risk, h0), strict=True))
+            yield list(zip(source, measure, length, n, at_risk, [float(k / r) for k, r in zip(n, at_risk, strict=True)], h0, _tail(n, at_risk, h0), strict=True))
 
-    ddl = "source_file string, measure string, length int, n bigint, at_risk bigint, hazard double, p_value double"
+    ddl = "source_file string, measure string, length int, n bigint, at_risk bigint, hazard double, h0 double, p_value double"
     tested = materialize(map_lists(tested.select("source_file", "measure", "length", "n", "at_risk", "h0"), test, ddl), "hazards")
     total = tested.count()
     # only p-values up to the rate can be rejected, so only these are ranked in one place
     ranked = tested.where(F.col("p_value") <= rate).withColumn("rank", F.row_number().over(W.orderBy("p_value", "source_file", "measure", "length")))
     passed = ranked.where(F.col("p_value") <= F.col("rank") * F.lit(rate / max(total, 1)))
     last = passed.agg(F.max("rank").alias("last"))
-    return ranked.join(F.broadcast(last), F.col("rank") <= F.col("last")).where(F.col("n") >= least).select(*tested.columns)
+    return ranked.join(F.broadcast(last), F.col("rank") <= F.col("last")).where((F.col("n") >= least) & (F.col("hazard") >= times * F.col("h0"))).select(*[c for c in tested.columns if c != "h0"])
 
 
 def _features(sentence: str) -> list[int]:
