@@ -39,6 +39,8 @@ SHAPES = """
 UNSEEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
 #: Compatibility forms that are the same letters in another dress.
 FORMS = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
+#: Occurrences that a plainly typed form has beforehand.
+PRIOR = 1_000
 #: Strings counted for the frequency of what a ligature stands for.
 LIGATURES = ("ff", "fi", "fl", "ffi", "ffl", "st")
 
@@ -113,8 +115,9 @@ def _plain(token: str) -> str | None:
 
 
 def lookalike_classes(counts: dict[str, int]) -> list[tuple[str, list[str]]]:
-    """Classes of the counted tokens: representative (most frequent; ties: plain forms, then the
-    smaller string) and the other members."""
+    """Classes of the counted tokens: representative (most frequent, plain forms counted ``PRIOR`` times
+    more than they occur, so that a few rows cannot make a rare form the usual one; ties: the smaller
+    string) and the other members."""
     sets = UnionFind()
     plain: set[str] = {"", " "}
     for token in counts:
@@ -126,7 +129,7 @@ def lookalike_classes(counts: dict[str, int]) -> list[tuple[str, list[str]]]:
         plain.add(latin)
     out = []
     for members in sets.classes():
-        top = min(members, key=lambda x: (-counts.get(x, 0), x not in plain, len(x), x))
+        top = min(members, key=lambda x: (-counts.get(x, 0) - PRIOR * (x in plain), len(x), x))
         out.append((top, sorted(x for x in members if x != top)))
     return sorted(out)
 

@@ -1,7 +1,7 @@
 """Text cut off by field limits and broken transfers (problem 1).
 
-For every source the *discrete length hazard* is computed in four measures (characters, bytes
-and words as delivered, characters as cleaned): the share of the texts at least L long that end
+For every source the *discrete length hazard* is computed in five measures (characters, bytes
+and words as delivered, characters and words as cleaned): the share of the texts at least L long that end
 at exactly L.  Each hazard is tested against that of the neighbouring lengths, with the false
 discovery rate held over all sources, lengths and measures.  A text at or just below a
 significant length whose ending is incomplete was cut by a limit.
@@ -28,10 +28,10 @@ from skerry.llm.records import hash64
 from skerry.sources.tables import materialize
 
 #: Neighbouring lengths on each side that a hazard is tested against, by measure.
-NEIGHBOURS = {"raw_chars": 40, "raw_bytes": 40, "chars": 40, "raw_words": 8}
+NEIGHBOURS = {"raw_chars": 40, "raw_bytes": 40, "chars": 40, "raw_words": 8, "words": 8}
 #: How far below a limit a text may end that was cut back to a whole word or blank.
-SLACK = {"raw_chars": 26, "raw_bytes": 28, "chars": 26, "raw_words": 0}
-#: Most texts that the classifier of endings is fitted on.
+SLACK = {"raw_chars": 26, "raw_bytes": 28, "chars": 26, "raw_words": 0, "words": 0}
+#: Texts that the classifier of endings is fitted on: about so many at most, picked by hash.
 SAMPLE = 4_000
 _BITS = 18
 
@@ -51,6 +51,7 @@ def length_rows(df: DataFrame) -> DataFrame:
         F.struct(F.lit("raw_bytes").alias("measure"), F.octet_length(raw).alias("length")),
         F.struct(F.lit("chars").alias("measure"), F.char_length(text).alias("length")),
         F.struct(F.lit("raw_words").alias("measure"), F.size(F.split(F.trim(raw), r"\s+")).alias("length")),
+        F.struct(F.lit("words").alias("measure"), F.size(F.split(F.trim(text), r"\s+")).alias("length")),
     )
     distinct = df.where("abstract is not null and trim(abstract) <> ''").select("source_file", F.xxhash64(raw).alias("h"), measures.alias("m"))
     distinct = distinct.groupBy("source_file", "h").agg(F.first("m").alias("m"))
@@ -187,9 +188,11 @@ def truncated(df: DataFrame, rate: float = 0.001, sample: int = SAMPLE) -> DataF
     for r in rows:
         spots.setdefault((r["source_file"], r["measure"]), []).append(r["length"])
     text = F.col("abstract")
-    finished = df.where(text.rlike(r"[^.!?][.!?]\s*$") & (F.char_length(text) < 20_000)).select("record_sequence", "abstract")
-    picked = finished.orderBy(F.xxhash64("record_sequence"), "record_sequence").limit(sample).select("abstract").collect()
-    model = fit_endings([r[0] for r in picked])
+    finished = df.where(text.rlike(r"[^.!?][.!?]\s*$") & (F.char_length(text) < 20_000))
+    # a share of the rows by hash, so that no task sends more than its part of the sample
+    share = min(1.0, sample / max(1, df.count()))
+    picked = finished.where(F.pmod(F.xxhash64("record_sequence"), F.lit(1_000_000)) < int(share * 1_000_000)).select("abstract").collect()
+    model = fit_endings(sorted(r[0] for r in picked))
 
     def judge(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -202,7 +205,7 @@ def truncated(df: DataFrame, rate: float = 0.001, sample: int = SAMPLE) -> DataF
                     continue
                 if CLOSED.search(body) and not re.search(r"\b\d+\.$", body):
                     continue
-                sizes = {"raw_chars": len(raw), "raw_bytes": len(raw.encode()), "chars": len(body), "raw_words": len(raw.split())}
+                sizes = {"raw_chars": len(raw), "raw_bytes": len(raw.encode()), "chars": len(body), "raw_words": len(raw.split()), "words": len(body.split())}
                 near = [spot - size for m, size in sizes.items() for spot in spots.get((source, m), ()) if 0 <= spot - size <= SLACK[m]]
                 note = bool(NOTE.search(body))
                 if near and (not note or min(near) == 0) and not CLOSED.search(body):
