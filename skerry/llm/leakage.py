@@ -34,7 +34,7 @@ SIZES = ((0, 6), (1_000, 8), (10_000, 11))
 #: Shingles that only this item has and a document must share with it.
 EVIDENCE = 5
 #: Most items that are sent to every task.
-MAX_ITEMS = 200_000
+MAX_ITEMS = 20_000
 
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|\*\*|__|~~|&(?:\w{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
