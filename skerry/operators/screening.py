@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, NGram, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.sources.tables import materialize
+
 
 def terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     """Lower-case words without English stop words, and pairs of neighbours; hyphenated words are split
@@ -46,17 +46,16 @@ class ScreeningModel:
         return out.withColumn("probability_relevant", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fit_screening(train: DataFrame, label: str, vocabulary: int = 50_000, strength: float = 0.01) -> ScreeningModel:
-    """Fit on ``terms`` and a 0/1 ``label``.  The vocabulary is bounded by ``vocabulary``; everything else runs on
-    the rows where they are."""
-    counts = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=3, maxDF=0.98, vocabSize=vocabulary).fit(train)
-    n = train.count()
-    known = {t: i for i, t in enumerate(counts.vocabulary)}
-    dfs = train.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    vocab = train.sparkSession.createDataFrame([(t,) for t in known], "term string")
-    weights = [0.0] * max(1, len(known))
-    for r in dfs.join(vocab, "term").collect():  # at most the bounded vocabulary
-        weights[known[r["term"]]] = math.log10(n / r["df"])
+def fit_screening(train: DataFrame, label: str, strength: float = 0.01) -> ScreeningModel:
+    """Fit on ``terms`` and a 0/1 ``label``.  The vocabulary is every term in at least 3 and at most 98 % of the
+    rows, however many there are; the driver holds it with its weights and coefficients, all else runs on the
+    rows where they are."""
+    frequencies = materialize(document_frequency(train), "document-frequency")
+    size = max(1, frequencies.count())
+    counts = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=3, maxDF=0.98, vocabSize=size).fit(train)
+    idf = frequencies.select("term", "idf").toArrow()
+    known = dict(zip(idf["term"].to_pylist(), idf["idf"].to_pylist(), strict=True))
+    weights = [known[t] for t in counts.vocabulary]
     product = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="features")
     model = LogisticRegression(featuresCol="features", labelCol=label, elasticNetParam=1.0, regParam=strength, standardization=False, maxIter=40)
     return ScreeningModel(counts, product, model.fit(product.transform(counts.transform(train))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions import text as X
 from skerry.operators.classify import classify_records, flatten_responses, keyword_classifier
 from skerry.operators.screening import decide, document_frequency, fit_screening, terms, validation_split
-from skerry.sources.tables import shared_path, table
+from skerry.sources.tables import materialize, shared_path, table
 from skerry.streaming.incremental import run_available
 
 
@@ -22,9 +22,10 @@ def screening_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a result was sent to review, foretold from the record's text: held-out records by decision."""
     results = table(spark, sf_dir, "topic_v4_llm_record", "record_sequence", "review_required").where("review_required is not null").groupBy("record_sequence").agg(F.max(F.col("review_required").cast("int")).cast("double").alias("label"))
     records = table(spark, sf_dir, "clean_records", "record_sequence", "title", "abstract")
-    rows = terms(records.select("record_sequence", X.title_key(F.col("title")).alias("title_key"), X.screening_text(F.col("title"), F.col("abstract")).alias("text")), "text").join(results, "record_sequence")
-    rows = validation_split(rows.select("record_sequence", "title_key", "terms", "label"), "title_key")
-    model = fit_screening(rows.where("not validation"), "label", vocabulary=20_000)
+    records = records.join(results, "record_sequence")
+    rows = terms(records.select("label", X.title_key(F.col("title")).alias("title_key"), X.screening_text(F.col("title"), F.col("abstract")).alias("text")), "text")
+    rows = materialize(validation_split(rows, "title_key").select("terms", "label", "validation"), "screening-rows")
+    model = fit_screening(rows.where("not validation"), "label")
     scored = model.score(rows.where("validation")).withColumn("decision", decide(F.col("probability_relevant"), 0.1, 0.6))
     return scored.groupBy("decision", "label").agg(F.count("*").alias("n"), F.round(F.avg("probability_relevant"), 4).alias("mean_probability"))
 
