@@ -6,8 +6,8 @@ substrings of its own sentences, so every stored sentence within ``edits`` edits
 without reading the stored texts; the records met this way are compared as wholes, and then the
 batch's segments are appended.  Records that are copies (problem 4) share one entry.
 
-Two records are compared if they share two keys (an unedited sentence has two), or one where
-either has a single sentence.  A segment that more than ``hot`` records of one delivery hold (boilerplate) is looked up only
+Two records are compared if they share a key, have the same series marks and enough title words in
+common; what the rule for a publication demands is asked before texts are read.  A segment that more than ``hot`` records of one delivery hold (boilerplate) is looked up only
 together with a segment of the title, which bounds what any key can gather.
 """
 
@@ -63,18 +63,17 @@ def _indexed(body: str) -> list[str]:
 
 
 def segment_keys(df: DataFrame, edits: int) -> DataFrame:
-    """``record_sequence, single, postings, probes``: the keys to store and to look up, as arrays, and
-    whether they come from a single sentence."""
+    """``record_sequence, postings, probes``: the keys to store and to look up, as arrays."""
 
     def make(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
             for seq, body in zip(*batch, strict=True):
                 kept = _indexed(body)
-                out.append((seq, len(kept) < 2, [k for s in kept for k in segments(s, edits)], [k for s in kept for k in probes(s, edits)]))
+                out.append((seq, [k for s in kept for k in segments(s, edits)], [k for s in kept for k in probes(s, edits)]))
             yield out
 
-    ddl = "record_sequence int, single boolean, postings array<bigint>, probes array<bigint>"
+    ddl = "record_sequence int, postings array<bigint>, probes array<bigint>"
     return map_lists(df.select("record_sequence", "body"), make, ddl)
 
 
@@ -154,10 +153,19 @@ def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str],
     return _share(a[0].split("|")[0].split(), b[0].split("|")[0].split()) >= 0.6 and _same_people(a[2], b[2])
 
 
+def _likely(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs with equal series marks and the title words in common that ``same_publication`` asks for."""
+    titles = store.select("record_sequence", "series", F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " ")).alias("t"))
+    for k in "ab":
+        pairs = pairs.join(titles.withColumnsRenamed({"record_sequence": k, "series": f"{k}_series", "t": f"{k}_t"}), k)
+    common = F.size(F.array_intersect("a_t", "b_t")) >= F.lit(0.3) * F.least(F.size("a_t"), F.size("b_t"))
+    return pairs.where((F.col("a_series") == F.col("b_series")) & common).select("a", "b")
+
+
 def _verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) of one publication."""
     fields = ["form", "series", "people", "body"]
-
+    pairs = materialize(_likely(pairs, store), "likely-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("record_sequence")).distinct()
     ids = materialize(ids, "candidate-ids")
     few = ids.count() <= BROADCAST_ROWS
@@ -195,16 +203,15 @@ class History:
         counts.write.mode("append").parquet(self.hot_path)
         hot = self.spark.read.parquet(self.hot_path).distinct()
         n_hot = hot.count()
-        asked = own.select(F.col("record_sequence").alias("p"), F.col("single").alias("one_p"), F.explode("probes").alias("key"))
-        stored = self._keys(self.batches).select(F.col("record_sequence").alias("r"), F.col("single").alias("one_r"), F.explode("postings").alias("key"))
+        asked = own.select(F.col("record_sequence").alias("p"), F.explode("probes").alias("key"))
+        stored = self._keys(self.batches).select(F.col("record_sequence").alias("r"), F.explode("postings").alias("key"))
         pairs = None
         if n_hot:
             held = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
             pairs = self._hot_pairs(own, held, store)
             asked, stored = asked.join(held, "key", "left_anti"), stored.join(held, "key", "left_anti")
         n_probes = own.agg(F.sum(F.size("probes"))).first()[0] or 0
-        found = stored.join(F.broadcast(asked) if n_probes <= BROADCAST_ROWS else asked, "key").where("p <> r")
-        found = found.groupBy("p", "r").agg(F.count("*").alias("n"), F.bool_or(F.col("one_p") | F.col("one_r")).alias("one")).where("n > 1 or one").select("p", "r")
+        found = stored.join(F.broadcast(asked) if n_probes <= BROADCAST_ROWS else asked, "key").where("p <> r").select("p", "r")
         if pairs is not None:
             found = found.unionByName(pairs)
         return found.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()

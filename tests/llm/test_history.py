@@ -92,3 +92,11 @@ def test_rule():
     assert same_publication(a, a)
     assert not same_publication(a, ("light growth pens|berg", "ii", *a[2:]))
     assert not same_publication(a, (*a[:3], ""))
+
+
+def test_one_shared_segment_is_enough(spark):
+    a = "smolts grew faster in closed pens under green light than in open pens during the whole long winter season\nwild stock was sampled twice before the trial began and once after it had come to an end in spring".split("\n")
+    b = [a[0].replace("closed", "clozed"), a[1].replace("wild", "wyld").replace("spring", "sprinng")]
+    rows = [(1, 0, "Light and growth in pens", "Berg, Anna", None, ". ".join(a) + ".", "k"), (2, 1, "Light and growth in pens", "Berg, Anna", "10.1/b", ". ".join(b) + ".", "k")]
+    got = publications(spark.createDataFrame(rows, SCHEMA)).where("first_sequence <> record_sequence").collect()
+    assert [(r.first_sequence, r.record_sequence) for r in got] == [(1, 2)]
