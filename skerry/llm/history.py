@@ -7,8 +7,9 @@ without reading the stored texts; the records met this way are compared as whole
 batch's segments are appended.  Records that are copies (problem 4) share one entry.
 
 Two records are compared if they share a key, have the same series marks and enough title words in
-common; what the rule for a publication demands is asked before texts are read.  A segment that more than ``hot`` records of one delivery hold (boilerplate) is looked up only
-together with a segment of the title, which bounds what any key can gather.
+common; what the rule for a publication demands is asked before texts are read.  A segment that
+more than ``hot`` records of one delivery hold (boilerplate) is looked up together with a word of
+the title that is rare in one of the two, which loses no pair that the rule would accept.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from skerry.functions.arrow import map_lists
 from skerry.llm.components import connected_components
@@ -77,15 +79,13 @@ def segment_keys(df: DataFrame, edits: int) -> DataFrame:
     return map_lists(df.select("record_sequence", "body"), make, ddl)
 
 
-def title_keys(df: DataFrame, edits: int = 3) -> DataFrame:
-    """``record_sequence, title_postings, title_probes`` of a record's title words."""
-
-    def make(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        for batch in batches:
-            titles = ((seq, form.split("|")[0]) for seq, form in zip(*batch, strict=True))
-            yield [(seq, segments(t, edits), probes(t, edits)) for seq, t in titles]
-
-    return map_lists(df.select("record_sequence", "form"), make, "record_sequence int, title_postings array<bigint>, title_probes array<bigint>")
+def title_words(df: DataFrame) -> DataFrame:
+    """``record_sequence, t, rare``: the distinct words of each title.  Two titles that have 30 % of the shorter
+    one's words in common share one that is ``rare`` in the shorter."""
+    each = df.select("record_sequence", F.explode(F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " "))).alias("t")).where("t <> ''")
+    each = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t")
+    size, place = F.count("*").over(W.partitionBy("record_sequence")), F.row_number().over(W.partitionBy("record_sequence").orderBy("n", "t"))
+    return each.select("record_sequence", "t", (place <= size - F.ceil(F.lit(0.3) * size) + 1).alias("rare"))
 
 
 def _near(a: str, b: str) -> bool:
@@ -217,15 +217,16 @@ class History:
         return found.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
 
     def _hot_pairs(self, own: DataFrame, hot: DataFrame, store: DataFrame) -> DataFrame:
-        """Records that share a hot key and a segment of the title."""
+        """Records that share a hot key and a title word that is rare in one of the two: all that
+        ``same_publication`` would accept are among them."""
         all_keys = self._keys(self.batches)
         ask = own.select("record_sequence", F.explode("probes").alias("key")).join(hot, "key", "left_semi")
         have = all_keys.select("record_sequence", F.explode("postings").alias("key")).join(hot, "key", "left_semi")
         ids = materialize(have.select("record_sequence").unionByName(ask.select("record_sequence")).distinct(), "hot-records")
-        titles = materialize(title_keys(store.select("record_sequence", "form").join(ids, "record_sequence", "left_semi")), "hot-titles")
-        ask = ask.join(titles, "record_sequence").select(F.col("record_sequence").alias("p"), "key", F.explode("title_probes").alias("t"))
-        have = have.join(titles, "record_sequence").select(F.col("record_sequence").alias("r"), "key", F.explode("title_postings").alias("t"))
-        return have.join(ask, ["key", "t"]).select("p", "r")
+        titles = materialize(title_words(store.select("record_sequence", "form").join(ids, "record_sequence", "left_semi")), "hot-titles")
+        ask = ask.join(titles, "record_sequence").select(F.col("record_sequence").alias("p"), "key", "t", F.col("rare").alias("rare_p"))
+        have = have.join(titles, "record_sequence").select(F.col("record_sequence").alias("r"), "key", "t", F.col("rare").alias("rare_r"))
+        return have.join(ask, ["key", "t"]).where("rare_p or rare_r").select("p", "r").distinct()
 
 
 def publications(df: DataFrame, rewriter: Rewriter | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> DataFrame:

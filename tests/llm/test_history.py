@@ -100,3 +100,15 @@ def test_one_shared_segment_is_enough(spark):
     rows = [(1, 0, "Light and growth in pens", "Berg, Anna", None, ". ".join(a) + ".", "k"), (2, 1, "Light and growth in pens", "Berg, Anna", "10.1/b", ". ".join(b) + ".", "k")]
     got = publications(spark.createDataFrame(rows, SCHEMA)).where("first_sequence <> record_sequence").collect()
     assert [(r.first_sequence, r.record_sequence) for r in got] == [(1, 2)]
+
+
+def test_boilerplate_abstracts_with_a_lost_subtitle(spark):
+    note = "No abstract was supplied by the publisher of this record at all."
+    title = "Deep water smolts under blue light"
+    rng = random.Random(7)
+    made = ["".join(rng.choice("abdefgiklmnoprstuv") for _ in range(9)) for _ in range(100)]
+    rows = [(i, i % 3, " ".join(made[i * 4 : i * 4 + 4]), f"{made[i + 80]}, A.", None, note, "k") for i in range(20)]
+    rows += [(200, 0, f"{title}: a long trial in the fjords of the far north", "Holm, O.", None, note, "k"), (201, 2, title, "Holm, O.", None, note, "k")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = publications(df, hot=5).where("first_sequence <> record_sequence").collect()
+    assert [(r.first_sequence, r.record_sequence) for r in got] == [(200, 201)]
