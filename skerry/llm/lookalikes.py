@@ -2,8 +2,8 @@
 
 Look-alike *classes* are found by union-find over code points and short strings: width and
 ligature forms, composed and decomposed accents, blanks, invisible characters (the class of
-the empty string) and letters of other scripts with the shape of Latin ones.  The most frequent
-member over all rows represents its class.  Text is rewritten greedily, longest match first,
+the empty string) and letters of other scripts with the shape of Latin ones.  A plain
+member (ASCII, composed) represents its class; among several the most frequent over all rows does.  Text is rewritten greedily, longest match first,
 with one Aho-Corasick automaton over all other members.
 
 Letters of another script are rewritten only in words that also hold Latin letters, or whose
@@ -39,8 +39,6 @@ SHAPES = """
 UNSEEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
 #: Compatibility forms that are the same letters in another dress.
 FORMS = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
-#: Occurrences that a plainly typed form has beforehand.
-PRIOR = 1_000
 #: Strings counted for the frequency of what a ligature stands for.
 LIGATURES = ("ff", "fi", "fl", "ffi", "ffl", "st")
 
@@ -115,21 +113,24 @@ def _plain(token: str) -> str | None:
 
 
 def lookalike_classes(counts: dict[str, int]) -> list[tuple[str, list[str]]]:
-    """Classes of the counted tokens: representative (most frequent, plain forms counted ``PRIOR`` times
-    more than they occur, so that a few rows cannot make a rare form the usual one; ties: the smaller
-    string) and the other members."""
+    """Classes of the counted tokens: representative (a plain form where there is one, whatever the counts;
+    of several ASCII before others, then the most frequent; ties: the smaller string) and the other members."""
     sets = UnionFind()
     plain: set[str] = {"", " "}
+    other_looks: set[str] = set()
     for token in counts:
         if token and (to := _plain(token)) is not None and to != token:
             sets.union(token, to)
             plain.add(to)
+            other_looks.add(token)
     for other, latin in shape_pairs():
         sets.union(other, latin)
         plain.add(latin)
+        other_looks.add(other)
+    plain -= other_looks
     out = []
     for members in sets.classes():
-        top = min(members, key=lambda x: (-counts.get(x, 0) - PRIOR * (x in plain), len(x), x))
+        top = min(members, key=lambda x: (x not in plain, not x.isascii(), -counts.get(x, 0), len(x), x))
         out.append((top, sorted(x for x in members if x != top)))
     return sorted(out)
 

@@ -74,3 +74,10 @@ def test_statistics_count_all_rows(spark):
     counts = {r.token: r.n for r in token_statistics(df, ["t"]).collect()}
     assert counts["a"] == 2 and counts["b"] == 2 and counts["á"] == 1
     assert unicodedata.normalize("NFC", "á") == "á"
+
+
+def test_plain_member_wins_at_any_count():
+    composed, apart = "\u00e5", "a\u030a"
+    for scale in (1, 1_000, 1_000_000):
+        top = {m: t for t, ms in lookalike_classes({composed: 2 * scale, apart: 5 * scale, "A": scale, "\u0410": 9 * scale, "\ufb01": 3 * scale}) for m in ms}
+        assert top[apart] == composed and top["\u0410"] == "A" and top["\ufb01"] == "fi"
