@@ -13,9 +13,10 @@ from skerry.streaming.incremental import run_available
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and pairs of the titles with their document frequency and weight."""
-    t = terms(table(spark, sf_dir, "clean_records", "record_sequence", "title"), "title")
-    return document_frequency(t).select("term", "df", F.round("idf", 9).alias("idf"))
+    """Words and pairs of the screening text (titles and abstracts) with their document frequency and weight."""
+    records = table(spark, sf_dir, "clean_records", "title", "abstract")
+    t = terms(records.select(X.screening_text(F.col("title"), F.col("abstract")).alias("text")), "text")
+    return document_frequency(t.select("terms")).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def screening_model(spark: SparkSession, sf_dir: str) -> DataFrame:

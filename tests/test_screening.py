@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from skerry.operators.screening import fit_screening
+from skerry.plans.learning import term_frequencies
 
 
 def test_vocabulary_holds_every_term(spark):
@@ -8,3 +9,9 @@ def test_vocabulary_holds_every_term(spark):
     df = spark.range(8).select((F.col("id") % 2).cast("double").alias("label"), F.when(F.col("id") < 4, many).otherwise(F.array(F.lit("rare"))).alias("terms"))
     model = fit_screening(df, "label")
     assert set(model.counts.vocabulary) == {"rare", *(f"t{i}" for i in range(1, 50_101))}
+
+
+def test_frequencies_count_abstracts(spark, tmp_path):
+    rows = [(i, "salmon" if i else None, "lice" if i < 3 else None) for i in range(5)]
+    spark.createDataFrame(rows, "record_sequence int, title string, abstract string").write.parquet(str(tmp_path / "clean_records.parquet"))
+    assert {r.term: r.df for r in term_frequencies(spark, str(tmp_path)).collect()}["lice"] == 3
