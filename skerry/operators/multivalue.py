@@ -1,9 +1,11 @@
 """Splitting fields that hold several values (problem 3).
 
 A field is read by a quote-aware finite-state tokenizer.  Its states are *outside*,
-*inside a quoted value* and *after a closing quote*; escapes (``\\"`` and doubled quotes)
-and bracket depth are tracked, and only delimiters outside quotes end a value.  Two small
-grammars settle what the delimiters leave open:
+*inside a quoted value* and *after a closing quote*.  Escapes (a backslash before a quote, bracket or
+delimiter, doubled quotes) are known in every state, and brackets are tracked by a stack: one that opens at
+the start of a value opens a list, whose values are split too, one inside a value belongs to it.  Only
+delimiters outside quotes and outside brackets of a value end it; a bracket without a partner is a character
+like any other.  Two small grammars settle what the delimiters leave open:
 
 * ``authors`` - commas and "and"/"&" inside an unquoted stretch are read as person lists
   ("Family, Given", "Family AB", "Family, A. B."), organisations keep theirs;
@@ -121,36 +123,95 @@ def _open_topic(words: list[str]) -> bool:
     return bool(heads) and heads[-1] == len(low) - 2
 
 
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
+_ESCAPED = frozenset("\\\"'“”„()[]{};,|/")
+_SPECIAL = re.compile(r'["“„\\(\[{]')
+_COMMA_QUOTE = re.compile(r',\s*"')
+_DELIMITER = re.compile(r"\s*(?:,|;|\|+|/(?=\s))")
+_LINE = re.compile(r"[ ]*[\n\t\r]")
+
+
+def _partners(text: str) -> dict[int, int]:
+    """Places of the brackets that have a partner, each with its partner's, outside quoted values and escapes."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    i, n, last = 0, len(text), ""
+    while i < n:
+        c = text[i]
+        if c == "\\" and text[i + 1 : i + 2] in _ESCAPED:
+            i += 2
+            continue
+        if c in QUOTES and not last.isalnum():
+            close = text.find(QUOTES[c], i + 1)
+            while close > 0 and (text[close - 1] == "\\" or not _ends(text, close + 1, n)):
+                close = text.find(QUOTES[c], close + 1)
+            if close > 0:
+                i = close + 1
+                continue
+        if c in _PAIRS:
+            stack.append(i)
+        elif c in ")]}":
+            for k in range(len(stack) - 1, -1, -1):
+                if _PAIRS[text[stack[k]]] == c:
+                    out[stack[k]], out[i] = i, stack[k]
+                    del stack[k:]
+                    break
+        if not c.isspace():
+            last = c
+        i += 1
+    return out
+
+
 def tokenize(text: str) -> list[tuple[str, bool]]:
-    """Stretches between delimiters outside quotes, each with whether it was quoted.
+    """Stretches between delimiters outside quotes and brackets, each with whether it was quoted.
 
     A quote opens a value only at its start; it closes only before a delimiter, a closing
     bracket or the end, so quotes inside a name stay part of it.
     """
-    if '"' not in text and "[" not in text and "“" not in text and "„" not in text:
+    if not _SPECIAL.search(text):
         return [(x, False) for x in _STRONG.split(text)]
+    partner = _partners(text)
     out: list[tuple[str, bool]] = []
-    i, n, depth = 0, len(text), 0
-    body = text.strip()
-    if body[:1] == "[" and body[-1:] == "]":
-        i, n, depth = text.index("[") + 1, text.rindex("]"), 1
-    start = i
+    i, n = 0, len(text)
+    lists: list[int] = []  # ends of the lists that are open
+    inner = 0  # end of the bracket inside the value that is open
+    start, cut = 0, []  # of the value read now, and the backslashes in it that only escape
+    fresh = True  # nothing of the value has been read
+
+    def give(end: int) -> None:
+        nonlocal cut
+        out.append(("".join(text[a + 1 : b] for a, b in zip([start - 1, *cut], [*cut, end], strict=True)), False))
+        cut = []
+
     while i < n:
-        if not text[start:i].strip(" ,") and text[i] in QUOTES:
-            close, j, buf = QUOTES[text[i]], i + 1, []
-            while j < n:
+        c = text[i]
+        if lists and i == lists[-1]:
+            give(i)
+            lists.pop()
+            m = _DELIMITER.match(text, i + 1) or _LINE.match(text, i + 1)
+            i = start = m.end() if m else i + 1
+            fresh = True
+            continue
+        if c == "\\" and i + 1 < n and text[i + 1] in _ESCAPED and text[i + 1] != "\\":
+            cut.append(i)
+            i, fresh = i + 2, False
+            continue
+        if fresh and c in QUOTES:
+            end = lists[-1] if lists else n
+            close, j, buf = QUOTES[c], i + 1, []
+            while j < end:
                 c = text[j]
-                if c == "\\" and j + 1 < n and text[j + 1] in "\"'\\“”":
+                if c == "\\" and j + 1 < end and text[j + 1] in "\"'\\“”":
                     buf.append(text[j + 1])
                     j += 2
                 elif c == close:
-                    if text[j + 1 : j + 2] == close and close == '"' and not _closes(text, j + 1, n, len(buf)):
+                    if text[j + 1 : j + 2] == close and close == '"' and not _closes(text, j + 1, end, len(buf)):
                         buf.append(c)
                         j += 2
                     elif text[j + 1 : j + 3] == close * 2 and close == '"':
                         buf.append(c)
                         j += 2
-                    elif _ends(text, j + 1, n):
+                    elif _ends(text, j + 1, end):
                         break
                     else:
                         buf.append(c)
@@ -160,26 +221,38 @@ def tokenize(text: str) -> list[tuple[str, bool]]:
                     j += 1
             out.append(("".join(buf), True))
             i = j + 1
-            m = re.compile(r"\s*(?:,|;|\|+|/(?=\s))").match(text, i, n) or re.compile(r"[ ]*[\n\t\r]").match(text, i, n)
+            m = _DELIMITER.match(text, i, end) or _LINE.match(text, i, end)
             i = start = m.end() if m else i
+            fresh = True
             continue
-        if m := _STRONG.match(text, i):
-            out.append((text[start:i], False))
-            i = start = m.end()
-            continue
-        if depth and text[i] == ",":
-            out.append((text[start:i], False))
-            i = start = i + 1
-            continue
-        if text[i] == "," and re.compile(r',\s*"').match(text, i, n) and any(q for _, q in out):
-            out.append((text[start:i], False))
+        if fresh and c in "[{" and i in partner and _list_like(text, i, partner[i]):
+            lists.append(partner[i])
             i = start = i + 1
             continue
+        if c in _PAIRS and i in partner and partner[i] > inner:
+            inner = partner[i]
+        if i >= inner:
+            if m := _STRONG.match(text, i):
+                give(i)
+                i = start = m.end()
+                fresh = True
+                continue
+            if c == "," and (lists or _COMMA_QUOTE.match(text, i, n) and any(q for _, q in out)):
+                give(i)
+                i = start = i + 1
+                fresh = True
+                continue
+        fresh = fresh and c in " ,\n\r\t"
         i += 1
-    out.append((text[start:n], False))
+    give(n)
     return out
 
 
+def _list_like(text: str, at: int, end: int) -> bool:
+    """A bracket at the start of a value opens a list if the value ends with it."""
+    return _ends(text, end + 1, len(text))
+
+
 _AFTER = re.compile(r"\s*(?:$|[,;|\n\t\r\]]|/\s|and\s|&\s)")
 
 
@@ -254,8 +327,13 @@ def _mend(values: list[str], known: frozenset[str]) -> list[str]:
     out, i = [], 0
     while i < len(values):
         if known and path_key(values[i]) not in known:
-            for j in range(i + 1, min(i + 5, len(values))):
-                if path_key("".join(values[i : j + 1])) in known:
+            key, longest = path_key(values[i]), max(map(len, known))
+            for j in range(i + 1, len(values)):
+                key += path_key(values[j])
+                if len(key) > longest:
+                    out.append(values[i])
+                    break
+                if key in known:
                     out.append("; ".join(values[i : j + 1]))
                     i = j
                     break
@@ -269,11 +347,14 @@ def _mend(values: list[str], known: frozenset[str]) -> list[str]:
 
 def _join_paths(text: str, spans: list[tuple[int, int]], known: frozenset[str], levels: int) -> list[str]:
     spans = [(a, b) for a, b in spans if text[a:b].strip()]
-    out, i, n = [], 0, len(spans)
+    out, i, n, longest = [], 0, len(spans), max(map(len, known), default=0)
     while i < n:
-        best = None
-        for j in range(i, min(n, i + 8)):
-            if path_key(text[spans[i][0] : spans[j][1]]) in known:
+        best, key = None, ""
+        for j in range(i, n):
+            key += path_key(text[slice(*spans[j])])
+            if len(key) > longest:
+                break
+            if key in known:
                 best = j
         if best is None:
             best = i

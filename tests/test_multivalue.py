@@ -50,3 +50,25 @@ def test_rows_with_nulls_ties_empty_and_clashing_columns(spark):
     assert rows.where("row_key = 4").count() == 3000
     empty = spark.createDataFrame([], T._parse_datatype_string(schema))
     assert split_to_rows(empty, "k", paths_array(F.col("authors")), "f").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("Institute (Bergen; Oslo); Holm, A.", ["Institute (Bergen; Oslo)", "Holm, A."]),
+        ('[["Holm, A."; "Berg, B."], "Lund, C."]', ["Holm, A.", "Berg, B.", "Lund, C."]),
+        (r"Holm\; Berg, A.; Lund, C.", ["Holm; Berg, A.", "Lund, C."]),
+        ("Holm (A; Berg, B.", ["Holm (A", "Berg, B."]),
+        ('{"Holm; A", "Berg, B."}', ["Holm; A", "Berg, B."]),
+        ("Group ((a; b); [c; d]); Berg, B.", ["Group ((a; b); [c; d])", "Berg, B."]),
+        ("[]; Berg, B.", ["Berg, B."]),
+    ],
+)
+def test_depth_and_escapes_in_every_state(text, values):
+    assert split_authors(text) == values
+
+
+def test_long_paths_are_joined_up_to_the_longest_known_one():
+    long = "; ".join(f"level {i}" for i in range(14))
+    known = frozenset([path_key(long), path_key("short")])
+    assert split_paths(f"{long}; short", known) == [long, "short"]
