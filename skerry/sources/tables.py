@@ -17,13 +17,17 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none, as in tests, a temporary one is made and set.
+    Only a session on one machine that names none, as in tests, gets a temporary one; on a cluster it is an
+    error, since a folder of one machine would be lost to the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skerry-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,14 +40,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there,
-    and a lost executor costs no recomputation."""
+    and a lost executor costs no recomputation.  ``release`` deletes it once it is no longer read."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        drop_shared(df.sparkSession, df._shared_path)
 
 
 def drop_shared(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder that are no longer read."""
+    """Delete tables of the shared folder."""
     jvm = spark._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
