@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.sources.tables import materialize
+from skerry.sources.tables import materialize, release
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     its neighbours), which keeps the link table no larger than it was and needs a number of
     rounds that grows with the logarithm of the longest chain.  A node with many links is
     aggregated by partial minima, its neighbours are never gathered in one task.  Loops and
-    repeated links do no harm; an empty table has no components.
+    repeated links do no harm; an empty table has no components.  Links that have not settled after ``rounds``
+    rounds are an error, never a partial result.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "links")
@@ -29,10 +30,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"links not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
