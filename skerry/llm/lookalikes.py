@@ -3,8 +3,9 @@
 Look-alike *classes* are found by union-find over code points and short strings: width and
 ligature forms, composed and decomposed accents, blanks, invisible characters (the class of
 the empty string) and letters of other scripts with the shape of Latin ones.  A plain
-member (ASCII, composed) represents its class; among several the most frequent over all rows does.  Text is rewritten greedily, longest match first,
-with one Aho-Corasick automaton over all other members.
+member (ASCII, composed) represents its class; among several the most frequent over all rows does.  Text is
+rewritten greedily, longest match first, with one Aho-Corasick automaton over all other members, until
+nothing changes.
 
 Letters of another script are rewritten only in words that also hold Latin letters, or whose
 letters all have Latin shapes in a field without other words of that script; a single Greek
@@ -42,7 +43,7 @@ FORMS = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
 #: Strings counted for the frequency of what a ligature stands for.
 LIGATURES = ("ff", "fi", "fl", "ffi", "ffl", "st")
 
-_SEQUENCE = re.compile(r"[^\W\d_][̀-ͯ]+")
+_SEQUENCE = re.compile(r"[^\W\d_][\u0300-\u036f]+")
 _STATS = "token string, n bigint"
 
 
@@ -51,8 +52,19 @@ def shape_pairs() -> list[tuple[str, str]]:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
+def marked_letters(sequence: str) -> list[str]:
+    """Each mark of a letter with several beside the letter composed so far: pairs of one letter and one mark,
+    of which there are no more than Unicode has, however marks are stacked."""
+    out, letter = [], unicodedata.normalize("NFKC", sequence[0])[-1]
+    for mark in sequence[1:]:
+        out.append(letter + mark)
+        composed = unicodedata.normalize("NFC", letter + mark)
+        letter = composed if len(composed) == 1 else letter
+    return out
+
+
 def token_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``token, n``: every code point, letter with combining marks and ligature spelling of the
+    """``token, n``: every code point, letter with a combining mark and ligature spelling of the
     columns with its number of occurrences over all rows, and the number of code points in all
     as the count of the empty string.  NULLs count nothing."""
 
@@ -64,7 +76,7 @@ def token_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
                 n.update(text)
                 n[""] += len(text)
                 if not text.isascii():
-                    n.update(_SEQUENCE.findall(text))
+                    n.update(x for found in _SEQUENCE.findall(text) for x in marked_letters(found))
                 for x in LIGATURES:
                     n[x] += text.count(x)
         yield list(n.items())
@@ -183,7 +195,7 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        for _ in range(4):
+        while True:  # a representative is never rewritten, so every pass leaves fewer members to rewrite
             out, at = [], 0
             for start, m in self._matches(text):
                 if m in self.shaped and self._foreign(text, start):

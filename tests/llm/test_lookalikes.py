@@ -81,3 +81,13 @@ def test_plain_member_wins_at_any_count():
     for scale in (1, 1_000, 1_000_000):
         top = {m: t for t, ms in lookalike_classes({composed: 2 * scale, apart: 5 * scale, "A": scale, "\u0410": 9 * scale, "\ufb01": 3 * scale}) for m in ms}
         assert top[apart] == composed and top["\u0410"] == "A" and top["\ufb01"] == "fi"
+
+
+def test_stacked_marks_are_counted_in_pairs_and_compose():
+    from skerry.llm.lookalikes import marked_letters
+
+    assert marked_letters("ế") == ["ê", "ế"]
+    assert all(len(x) == 2 for x in marked_letters("e" + "́̂̃" * 400))
+    counts = {t: 1 for text in ("ế", "ệ") for t in (*text, *marked_letters(text))}
+    plain = Rewriter(lookalike_classes(counts))
+    assert plain("ế") == "ế" and plain("ệ") == "ệ"
