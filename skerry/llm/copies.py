@@ -7,9 +7,9 @@ than ``capacity`` entries is split by further bytes until each fits.  Within a b
 over the bytes counts them in terminal counters; an exact word check tells apart texts whose
 letters agree by chance.
 
-Equal entries are combined in every task before anything is shuffled, so a text that makes up
-a third of all rows reaches its bucket as a few counted entries; rows find their group again by
-the fingerprint of their entry.
+Equal entries are counted by partial aggregation before anything is shuffled, so a text that makes up
+a third of all rows reaches its bucket as one counted entry; rows find their group again by
+the 128-bit fingerprint of their entry, the few entries with a large part of all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 
 from skerry.functions.arrow import map_lists
 from skerry.llm.lookalikes import Rewriter, fit_rewriter
-from skerry.llm.records import author_words, bare_doi, hash64, same_words, words
-from skerry.sources.tables import materialize
+from skerry.llm.records import author_words, bare_doi, hash128, same_words, words
+from skerry.sources.tables import materialize, release
 
 #: Letters in the order in which they tell texts apart best.
 _ORDER = "nitrsloedcmphufgbywkvjxzqa0123456789"
 _AT = {c: i for i, c in enumerate(_ORDER)}
 _STRIDE = 8
-_FORMS = "record_sequence int, fp bigint, canon binary, form string"
-_ENTRY = "fp bigint, canon binary, form string, n bigint, first_sequence int"
+_FORMS = "record_sequence int, fp binary, canon binary, form string"
+#: Entries with more than this part of all rows meet their rows by broadcast: fewer than its inverse.
+HOT = 0.001
 
 
 def _letters(ws: list[str]) -> bytes:
@@ -43,12 +44,12 @@ def _letters(ws: list[str]) -> bytes:
     return bytes(counts) + "".join(sorted(rest)).encode()
 
 
-def canonical(title: list[str], authors: list[str], doi: str | None) -> tuple[bytes, str, int]:
+def canonical(title: list[str], authors: list[str], doi: str | None) -> tuple[bytes, str, bytes]:
     """Canonical bytes, the words (title, then authors after a bar) in text order, and the
-    fingerprint of both with the words sorted."""
+    fingerprint (128 bits) of both with the words sorted."""
     canon = _letters(title) + b"|" + _letters(authors) + b"|" + bare_doi(doi).encode()
     key = " ".join(sorted(title)) + "|" + " ".join(sorted(authors))
-    return canon, " ".join(title) + "|" + " ".join(authors), hash64(canon + key.encode())
+    return canon, " ".join(title) + "|" + " ".join(authors), hash128(canon + key.encode())
 
 
 def canonical_rows(df: DataFrame, rewriter: Rewriter) -> DataFrame:
@@ -65,25 +66,9 @@ def canonical_rows(df: DataFrame, rewriter: Rewriter) -> DataFrame:
     return map_lists(df.select("record_sequence", "title", "authors", "doi").where("title is not null and trim(title) <> ''"), make, _FORMS)
 
 
-def combined(rows: DataFrame, held: int = 50_000) -> DataFrame:
-    """Equal entries of a task put together with their count and smallest record, at most
-    ``held`` of them in memory at a time."""
-
-    def make(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        seen: dict[int, list] = {}
-        for batch in batches:
-            for seq, fp, canon, form in zip(*batch, strict=True):
-                if (e := seen.get(fp)) is None:
-                    seen[fp] = [fp, canon, form, 1, seq]
-                else:
-                    e[3] += 1
-                    e[4] = min(e[4], seq)
-            if len(seen) >= held:
-                yield [tuple(e) for e in seen.values()]
-                seen = {}
-        yield [tuple(e) for e in seen.values()]
-
-    return map_lists(rows.select("record_sequence", "fp", "canon", "form"), make, _ENTRY)
+def combined(rows: DataFrame) -> DataFrame:
+    """``fp, canon, form, n, first_sequence``: equal entries with their count and smallest record."""
+    return rows.groupBy("fp", "canon", "form").agg(F.count("*").alias("n"), F.min("record_sequence").alias("first_sequence"))
 
 
 def radix_buckets(entries: DataFrame, capacity: int, step: int = 2) -> DataFrame:
@@ -95,6 +80,7 @@ def radix_buckets(entries: DataFrame, capacity: int, step: int = 2) -> DataFrame
         big = still.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > capacity).select("bucket")
         big = materialize(big, "radix")
         if big.isEmpty():
+            release(big)
             done.append(still)
             break
         done.append(still.join(big, "bucket", "left_anti"))
@@ -117,13 +103,13 @@ class Trie:
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, key: bytes, form: str, fp: int, n: int, first: int) -> None:
+    def add(self, key: bytes, form: str, fp: bytes, n: int, first: int) -> None:
         node = self.root
         for i in range(0, len(key), _STRIDE):
             node = node.setdefault(key[i : i + _STRIDE], {})
         node.setdefault(None, []).append((form, fp, n, first))
 
-    def terminals(self) -> Iterator[list[tuple[str, int, int, int]]]:
+    def terminals(self) -> Iterator[list[tuple[str, bytes, int, int]]]:
         stack = [self.root]
         while stack:
             for edge, child in stack.pop().items():
@@ -133,9 +119,9 @@ class Trie:
                     stack.append(child)
 
 
-def _classes(entries: list[tuple[str, int, int, int]]) -> list[list[tuple[str, int, int, int]]]:
+def _classes(entries: list[tuple[str, bytes, int, int]]) -> list[list[tuple[str, bytes, int, int]]]:
     """Entries of one terminal by equal words."""
-    forms: dict[int, list] = {}
+    forms: dict[bytes, list] = {}
     for e in entries:
         forms.setdefault(e[1], []).append(e)
     out: list[tuple[list[list[str]], list]] = []
@@ -158,13 +144,33 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     for entries in trie.terminals():
         for members in _classes(entries):
             n, first = sum(e[2] for e in members), min(e[3] for e in members)
-            out += [(fp, first, n) for fp in dict.fromkeys(e[1] for e in members)]
-    return pd.DataFrame(out, columns=["fp", "first_sequence", "copies"])
+            held: dict[bytes, int] = {}
+            for _, fp, k, _ in members:
+                held[fp] = held.get(fp, 0) + k
+            out += [(fp, k, first, n) for fp, k in held.items()]
+    return pd.DataFrame(out, columns=["fp", "n", "first_sequence", "copies"])
 
 
 def copy_groups(rows: DataFrame, capacity: int = 20_000) -> DataFrame:
-    """``fp, first_sequence, copies`` of every entry of ``rows`` (of ``canonical_rows``)."""
-    return radix_buckets(combined(rows), capacity).groupBy("bucket").applyInPandas(_count_bucket, "fp bigint, first_sequence int, copies bigint")
+    """``fp, n, first_sequence, copies`` of every entry of ``rows`` (of ``canonical_rows``): the rows of the
+    entry, the smallest record and the number of records of its group."""
+    entries = materialize(combined(rows), "entries")
+    return radix_buckets(entries, capacity).groupBy("bucket").applyInPandas(_count_bucket, "fp binary, n bigint, first_sequence int, copies bigint")
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, total: int, hot: float = HOT) -> DataFrame:
+    """``rows`` with the ``first_sequence`` and ``copies`` of their entry in ``groups``, NULL for those that have none.
+
+    Entries with more than a share ``hot`` of the ``total`` rows, fewer than 1 / ``hot``, are broadcast; what
+    is shuffled by entry is spread evenly."""
+    often = F.col("n") > F.lit(hot * total)
+    columns = ["fp", "first_sequence", "copies"]
+    most = rows.join(F.broadcast(groups.where(often).select("fp", F.struct(*columns[1:]).alias("hot"))), "fp", "left")
+    rest = groups.where(~often).select(F.col("fp").alias("of"), F.struct(*columns[1:]).alias("cold"))
+    # rows that are settled get a key of their own, so they do not meet in one task
+    key = F.when(F.col("hot").isNull(), F.col("fp")).otherwise(F.xxhash64(*rows.columns).cast("string").cast("binary"))
+    out = most.withColumn("of", key).join(rest, "of", "left").withColumn("g", F.coalesce("hot", "cold"))
+    return out.select(*rows.columns, F.col("g.first_sequence").alias("first_sequence"), F.col("g.copies").alias("copies"))
 
 
 def copies(df: DataFrame, capacity: int = 20_000, rewriter: Rewriter | None = None) -> DataFrame:
@@ -176,6 +182,6 @@ def copies(df: DataFrame, capacity: int = 20_000, rewriter: Rewriter | None = No
     """
     rewriter = rewriter or fit_rewriter(df, ["title", "authors"])
     rows = materialize(canonical_rows(df, rewriter), "canonical")
-    groups = copy_groups(rows, capacity).where("copies > 1")
-    joined = rows.select("record_sequence", "fp").join(groups, "fp", "left")
+    groups = materialize(copy_groups(rows, capacity).where("copies > 1"), "copy-groups")
+    joined = with_groups(rows.select("record_sequence", "fp"), groups, rows.count())
     return joined.select("record_sequence", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("copies", F.lit(1)).alias("copies"))

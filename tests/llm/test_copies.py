@@ -73,6 +73,6 @@ def test_words_dois_sentences():
 
 def test_combining_is_partial_but_complete(spark):
     rows = spark.createDataFrame([(i, i % 2, b"k", "f") for i in range(100)], "record_sequence int, fp bigint, canon binary, form string")
-    total = combined(rows, held=1).groupBy("fp").agg(F.sum("n").alias("n"), F.min("first_sequence").alias("m")).orderBy("fp").collect()
+    total = combined(rows).groupBy("fp").agg(F.sum("n").alias("n"), F.min("first_sequence").alias("m")).orderBy("fp").collect()
     assert [(r.n, r.m) for r in total] == [(50, 0), (50, 1)]
     assert copy_groups(rows).where("copies > 1").count() == 2
