@@ -58,21 +58,47 @@ def length_rows(df: DataFrame) -> DataFrame:
     return distinct.select("source_file", F.inline("m"))
 
 
-def _tail(n: list[int], risk: list[int], h: list[float]) -> list[float]:
-    """P(Binomial(risk, h) >= n), summed in logarithms."""
-    out = []
-    for k, r, p in zip(n, risk, h, strict=True):
-        if k > r * p:
-            p = min(max(p, 1e-12), 1 - 1e-12)
-            lg = math.lgamma
-            terms = [lg(r + 1) - lg(i + 1) - lg(r - i + 1) + i * math.log(p) + (r - i) * math.log1p(-p) for i in range(k, min(r, k + 200) + 1)]
-            top = max(terms)
-            out.append(min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms)))
-        else:
-            out.append(1.0)
+def upper_tail(n: np.ndarray, risk: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """P(Binomial(risk, h) >= n), 1 where n is not above the mean: the incomplete beta function
+    by its continued fraction, all tails at once."""
+    out = np.ones(len(n))
+    p = np.clip(h, 1e-12, 1 - 1e-12)
+    rare = np.flatnonzero(n > risk * p)
+    if not len(rare):
+        return out
+    k, r, p = n[rare].astype(float), risk[rare].astype(float), p[rare]
+    a, b = k, r - k + 1
+    lg = lambda x: np.array([math.lgamma(v) for v in x])
+    front = lg(r + 1) - lg(a) - lg(b) + a * np.log(p) + b * np.log1p(-p) - np.log(a)
+    tiny = 1e-300
+    c, d = np.ones(len(a)), 1 - (a + b) * p / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    f = d.copy()
+    # above the mean the fraction settles after a number of steps of the order of the root of n
+    for m in range(1, 200 + 5 * int(np.sqrt(a.max()))):
+        for step in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            f *= d * c
+        if np.abs(d * c - 1).max() < 1e-12:
+            break
+    out[rare] = np.minimum(1.0, np.exp(np.minimum(0.0, front + np.log(np.maximum(f, tiny)))))
     return out
 
 
+def below_rate(tested: DataFrame, rate: float, total: int) -> DataFrame:
+    """The rows of ``tested`` (``p_value`` and a key) that Benjamini-Hochberg rejects at ``rate`` among ``total`` tests.
+
+    Ranks are counted within ranges of the p-values and offset by the ranges below, so no task sorts all."""
+    low = tested.where(F.col("p_value") <= rate).withColumn("range", F.floor(-4 * F.log2(F.greatest("p_value", F.lit(1e-300)))).cast("int"))
+    counts = low.groupBy("range").agg(F.count("*").alias("k"))  # at most 4,000 ranges
+    counts = counts.select("range", (F.sum("k").over(W.orderBy(F.desc("range"))) - F.col("k")).alias("before"))
+    ranked = low.join(F.broadcast(counts), "range").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("p_value")))
+    last = ranked.where(F.col("p_value") <= F.col("rank") * F.lit(rate / max(total, 1))).agg(F.max("p_value").alias("last"))
+    return low.join(F.broadcast(last), F.col("p_value") <= F.col("last")).drop("range", "last")
+
+
 def significant_lengths(lengths: DataFrame, rate: float = 0.001, least: int = 4, times: float = 4.0) -> DataFrame:
     """``source_file, measure, length, n, at_risk, hazard, p_value`` of the lengths at which texts end
     more often than at neighbouring ones, at a false discovery rate of ``rate``, with a hazard at
@@ -100,16 +126,20 @@ def significant_lengths(lengths: DataFrame, rate: float = 0.001, least: int = 4,
 
     def test(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for source, measure, length, n, at_risk, h0 in batches:
-            yield list(zip(source, measure, length, n, at_risk, [float(k / r) for k, r in zip(n, at_risk, strict=True)], h0, _tail(n, at_risk, h0), strict=True))
+            tails = upper_tail(np.array(n), np.array(at_risk), np.array(h0, dtype=float)).tolist()
+            yield list(zip(source, measure, length, n, at_risk, [k / r for k, r in zip(n, at_risk, strict=True)], h0, tails, strict=True))
 
     ddl = "source_file string, measure string, length int, n bigint, at_risk bigint, hazard double, h0 double, p_value double"
-    tested = materialize(map_lists(tested.select("source_file", "measure", "length", "n", "at_risk", "h0"), test, ddl), "hazards")
-    total = tested.count()
-    # only p-values up to the rate can be rejected, so only these are ranked in one place
-    ranked = tested.where(F.col("p_value") <= rate).withColumn("rank", F.row_number().over(W.orderBy("p_value", "source_file", "measure", "length")))
-    passed = ranked.where(F.col("p_value") <= F.col("rank") * F.lit(rate / max(total, 1)))
-    last = passed.agg(F.max("rank").alias("last"))
-    return ranked.join(F.broadcast(last), F.col("rank") <= F.col("last")).where((F.col("n") >= least) & (F.col("hazard") >= times * F.col("h0"))).select(*[c for c in tested.columns if c != "h0"])
+    # the windows are small and may have been put into one task; the tests are dealt out again
+    dealt = tested.select("source_file", "measure", "length", "n", "at_risk", "h0").repartition("source_file", "measure", "length")
+    tested = materialize(map_lists(dealt, test, ddl), "hazards")
+    passed = below_rate(tested, rate, tested.count())
+    return passed.where((F.col("n") >= least) & (F.col("hazard") >= times * F.col("h0"))).select(*[c for c in tested.columns if c != "h0"])
+
+
+def hash_below(share: float) -> int:
+    """The signed 64-bit value below which a share of all hashes lies; finer than one row at any number of rows."""
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
 
 
 def _features(sentence: str) -> list[int]:
@@ -190,9 +220,12 @@ def truncated(df: DataFrame, rate: float = 0.001, sample: int = SAMPLE) -> DataF
     text = F.col("abstract")
     finished = df.where(text.rlike(r"[^.!?][.!?]\s*$") & (F.char_length(text) < 20_000))
     # a share of the rows by hash, so that no task sends more than its part of the sample
-    share = min(1.0, sample / max(1, df.count()))
-    picked = finished.where(F.pmod(F.xxhash64("record_sequence"), F.lit(1_000_000)) < int(share * 1_000_000)).select("abstract").collect()
-    model = fit_endings(sorted(r[0] for r in picked))
+    total = df.count()
+    share = min(1.0, sample / max(1, total))
+    picked = finished.where(F.xxhash64("record_sequence") <= hash_below(share)).select("abstract").collect()
+    if not picked and total > 100 * sample and not finished.isEmpty():
+        raise RuntimeError("the sample of finished abstracts is empty")
+    model = fit_endings(sorted(r[0] for r in picked))  # without finished abstracts it takes every ending for whole
 
     def judge(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
