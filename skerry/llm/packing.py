@@ -4,10 +4,11 @@ Documents are measured in tokens of a public tokenizer.  One longer than the cap
 into pieces of exactly the capacity and a rest; nothing else is split.  Items are dealt at random
 to blocks of bounded size, and each block is packed on its own by Karmarkar-Karp multiway
 differencing: the two partial partitions of the largest spread are merged, the fullest windows
-of one on the emptiest of the other, until one partition into near-equal windows is left.  The number of
-windows starts at the least that could do and rises whenever a window is over capacity.  Where windows
-hold only one or two items, differencing alone leaves a few per cent of the room; there its full
-windows are kept and best fit packs the rest.
+of one on the emptiest of the other, until one partition into near-equal windows is left.  Where windows hold
+only a few items some of them stay over capacity.  Then windows are settled one by one, each by at most one
+exchange of items with the others that fills it, what is left is differenced again, and so on;
+the last windows exchange items until none is over capacity.  The number of windows starts at the least that
+could do and rises whenever a window stays over capacity.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from skerry.functions.arrow import map_lists
 from skerry.sources.tables import materialize
@@ -49,17 +52,21 @@ def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_
     return map_lists(documents.select("doc_id", "text"), count, "doc_id bigint, n_tokens int")
 
 
-def differencing(sizes: list[int], k: int) -> list[list[int]]:
+def differencing(sizes: list[int], k: int, apart: int = 0) -> list[list[int]]:
     """Partition into ``k`` windows by Karmarkar-Karp differencing: the indices in each window.
 
     A partial partition is its non-empty windows by falling sum; a binary heap gives the ones of
-    the largest spread.  Windows are chains of indices, joined without copying."""
+    the largest spread.  Windows are chains of indices, joined without copying.  The first ``apart`` items, of
+    which no two may share a window, start as one partial partition, the others each as its own."""
     if not sizes:
         return [[] for _ in range(k)]
     link = [-1] * len(sizes)  # next index in the same window
     heap: list[tuple[int, int, list[tuple[int, int, int]]]] = []
-    for i, s in enumerate(sizes):
-        heapq.heappush(heap, (-(s if k > 1 else 0), i, [(-s, i, i)]))  # windows: (-sum, first, last)
+    if apart:  # windows: (-sum, first, last)
+        first = sorted((-s, i, i) for i, s in enumerate(sizes[:apart]))
+        heap.append((first[0][0] - (first[-1][0] if apart == k else 0), 0, first))
+    for i, s in enumerate(sizes[apart:], apart):
+        heapq.heappush(heap, (-(s if k > 1 else 0), i, [(-s, i, i)]))
     serial = len(sizes)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
@@ -93,50 +100,121 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out + [[] for _ in range(k - len(out))]
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of indices by best fit, the largest items first."""
-    room: list[tuple[int, int]] = []
-    out: list[list[int]] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        j = bisect_left(room, (sizes[i], -1))
-        if j < len(room):
-            left, w = room.pop(j)
-            out[w].append(i)
-        else:
-            left, w = capacity, len(out)
-            out.append([i])
-        insort(room, (left - sizes[i], w))
-    return out
+def exchange(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> bool:
+    """Mend windows over ``capacity`` in place: the fullest hands an item to a window with room, or changes it
+    for a smaller one there, as tightly as possible; whether none is over capacity in the end.
+
+    Each step either settles a window over capacity or lessens what it is over, and takes none over capacity."""
+    of = np.empty(len(sizes), dtype=np.int64)
+    for w, items in enumerate(windows):
+        of[items] = w
+    room = capacity - np.bincount(of, weights=sizes, minlength=len(windows)).astype(np.int64)
+    # items and, as items of size 0, the free places of the windows
+    value = np.concatenate([sizes, np.zeros(len(windows), dtype=np.int64)])
+    at = np.concatenate([of, np.arange(len(windows))])
+    while (w := int(room.argmin())) >= 0 and room[w] < 0:
+        need, space = -room[w], np.where(room > 0, room, -1)[at]
+        best: tuple[int, int, int, int] | None = None
+        for i in windows[w]:
+            gain = sizes[i] - value
+            fits = (gain > 0) & (gain <= space)
+            full = np.flatnonzero(fits & (gain >= need))
+            if len(full):  # settles the window; leave as little room as can be where the item goes
+                j = int(full[(space - gain)[full].argmin()])
+                key = (0, int(space[j] - gain[j]), i, j)
+            elif fits.any():  # lessens it the most
+                some = np.flatnonzero(fits)
+                j = int(some[gain[some].argmax()])
+                key = (1, -int(gain[j]), i, j)
+            else:
+                continue
+            best = key if best is None or key < best else best
+        if best is None:
+            return False
+        _, _, i, j = best
+        v = int(at[j])
+        gain = int(sizes[i] - value[j])
+        windows[w].remove(i)
+        windows[v].append(i)
+        at[i] = v
+        if j < len(sizes):
+            windows[v].remove(j)
+            windows[w].append(j)
+            at[j] = w
+        room[w] += gain
+        room[v] -= gain
+    return True
+
+
+def settle(values: list[int], windows: list[list[int]], capacity: int, waste: int) -> tuple[list[list[int]], list[int]]:
+    """Windows that one exchange with windows not yet settled fills up to ``waste``, and the items of all others.
+
+    The windows of the largest items come first; each gives away one item or none and takes one or none,
+    those that fill it best."""
+    pool = sorted((v, i) for i, v in enumerate(values))  # items of windows not yet settled
+    at = {i: w for w, items in enumerate(windows) for i in items}
+    done = []
+    for w in sorted(range(len(windows)), key=lambda w: -max((values[i] for i in windows[w]), default=0)):
+        own = windows[w]
+        for i in own:
+            del pool[bisect_left(pool, (values[i], i))]
+        room = capacity - sum(values[i] for i in own)
+        best = (room, -1, -1) if room >= 0 else (capacity + 1, -1, -1)
+        if best[0] > waste:
+            for i in (-1, *own):
+                space = room + (values[i] if i >= 0 else 0)
+                if space < 0:
+                    continue
+                p = bisect_left(pool, (space + 1, -1)) - 1
+                best = min(best, (space - pool[p][0], i, pool[p][1]) if p >= 0 else best, (space, i, -1))
+        left, out, into = best
+        if left > waste:
+            for i in own:
+                insort(pool, (values[i], i))
+            continue
+        v = at[into] if into >= 0 else -1
+        if out >= 0:
+            own.remove(out)
+            insort(pool, (values[out], out))
+            if v < 0:
+                windows.append([])
+                v = len(windows) - 1
+            windows[v].append(out)
+            at[out] = v
+        if into >= 0:
+            windows[at[into]].remove(into)
+            del pool[bisect_left(pool, (values[into], into))]
+            own.append(into)
+        done.append(own)
+    return done, [i for _, i in pool]
 
 
-def pack_block(sizes: list[int], capacity: int, waste: float = 0.004, least: float = 0.01) -> list[list[int]]:
-    """Windows of indices, none over capacity.
+def pack_block(sizes: list[int], capacity: int, waste: float = 0.002, least: float = 0.01) -> list[list[int]]:
+    """Windows of indices, none over ``capacity`` (no item may be).
 
-    Differencing is tried with the least number of windows that could do, which rises while a window
-    is over capacity, up to the number that best fit needs.  Where even that is not reached
-    (few items to a window), the windows of each round that are filled up to ``waste`` are kept
-    and the other items are differenced again, until a round gives fewer than ``least`` of its
-    windows; what is left is packed by best fit.
+    Differencing into the least number of windows that could do; where exchanges leave a window over capacity,
+    windows that settle with a room of at most ``waste`` are kept and the other items differenced again.
+    When a round settles less than a share ``least`` of its windows, the number of windows rises until
+    exchanges leave none over capacity, at most to one an item.
     """
-    rest, done = list(range(len(sizes))), []
+    rest, done, rising = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], 0
     while rest:
         values = [sizes[i] for i in rest]
-        fitted = best_fit(values, capacity)
-        k = max(-(-sum(values) // capacity), sum(2 * v > capacity for v in values), 1)
-        windows = differencing(values, k)
-        sums = [sum(values[i] for i in w) for w in windows]
-        good = [w for w, s in zip(windows, sums, strict=True) if (1 - waste) * capacity <= s <= capacity]
-        while max(sums) > capacity and k < len(fitted):
-            k += max(1, (len(fitted) - k) // 4)
-            windows = differencing(values, k)
-            sums = [sum(values[i] for i in w) for w in windows]
-        if max(sums) <= capacity:
-            return done + [[rest[i] for i in w] for w in windows if w]
-        if len(good) < least * k:
-            return done + [[rest[i] for i in w] for w in fitted]
-        done += [[rest[i] for i in w] for w in good]
-        gone = {i for w in good for i in w}
-        rest = [r for i, r in enumerate(rest) if i not in gone]
+        apart = sum(2 * v > capacity for v in values)
+        k = max(-(-sum(values) // capacity), apart, 1) + rising
+        windows = differencing(values, k, apart)
+        trial = [list(w) for w in windows]
+        if exchange(np.array(values, dtype=np.int64), trial, capacity):
+            return done + [[rest[i] for i in w] for w in trial if w]
+        if rising:
+            rising += max(1, k // 100)
+            continue
+        full, left = settle(values, windows, capacity, int(waste * capacity))
+        if len(full) < least * k:
+            rising = 1
+            continue
+        done += [[rest[i] for i in w] for w in full]
+        rest = [rest[i] for i in sorted(left)]
     return done
 
 
@@ -180,7 +258,7 @@ def packed(counts: DataFrame, capacities: DataFrame, block_items: int = BLOCK_IT
     blocks = F.create_map(*[F.lit(x) for cid, _ in caps for x in (cid, max(1, -(-totals.get(cid, 0) // block_items)))])
     # a full piece is a container of its own; the rest is dealt to blocks
     full = items.where(F.col("piece_tokens") == F.col("capacity_tokens"))
-    full = full.withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("full"), F.monotonically_increasing_id())).withColumn("container_tokens", F.col("piece_tokens"))
+    full = full.withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("full"), "doc_id", "piece_no", F.row_number().over(W.partitionBy("capacity_id", "doc_id", "piece_no").orderBy("first_token")))).withColumn("container_tokens", F.col("piece_tokens"))
     dealt = items.where(F.col("piece_tokens") < F.col("capacity_tokens")).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", "capacity_id"), blocks[F.col("capacity_id")]).cast("int"))
     open_ = dealt.groupBy("capacity_id", "block").applyInPandas(_pack, _PACKED)
     return open_.unionByName(full.select(*open_.columns))
