@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
 from skerry.llm.leakage import best_run, leaked_items, plain_words
 from skerry.llm.names import align_given, align_organisations, entities, organisation_tokens, read_name, spelling_pairs, spellings
-from skerry.llm.packing import best_fit, differencing, pack_block, packed, token_counts
+from skerry.llm.packing import differencing, exchange, pack_block, packed, settle, token_counts
 from skerry.llm.residue import residue, residue_kinds
 from skerry.llm.truncation import Endings, fit_endings, length_rows, significant_lengths, truncated
 
@@ -97,6 +98,20 @@ def test_spellings_are_linked(spark):
 # problem 7
 
 
+def best_fit(sizes, capacity):
+    """The plain method, to compare with: the largest items first, each where it leaves the least room."""
+    out, room = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [(r, w) for w, r in enumerate(room) if r >= sizes[i]]
+        w = min(fits)[1] if fits else len(out)
+        if not fits:
+            out.append([])
+            room.append(capacity)
+        out[w].append(i)
+        room[w] -= sizes[i]
+    return out
+
+
 def test_differencing_keeps_every_item_and_balances():
     rng = random.Random(3)
     for _ in range(60):
@@ -200,3 +215,96 @@ def test_residue_table(spark):
     got = sorted(r.doc_id for r in residue(spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, kinds string")).collect())
     assert got == [0, 1, 2, 10, 14, 14]
     assert residue(empty(spark, "doc_id bigint, text string")).count() == 0
+
+
+def test_windows_of_few_items_are_nearly_as_few_as_by_best_fit():
+    rng = random.Random(11)
+    sizes = [min(511, max(1, int(rng.lognormvariate(5.2, 0.7)))) for _ in range(1500)]
+    windows = pack_block(sizes, 512)
+    assert sorted(i for w in windows for i in w) == list(range(len(sizes)))
+    assert max(sum(sizes[i] for i in w) for w in windows) <= 512
+    assert len(windows) <= 1.01 * len(best_fit(sizes, 512))
+
+
+def test_exchange_and_settle_lose_nothing():
+    rng = random.Random(12)
+    for _ in range(50):
+        sizes = sorted((rng.randint(1, 60) for _ in range(rng.randint(2, 40))), reverse=True)
+        k = max(1, -(-sum(sizes) // 60))
+        windows = differencing(sizes, k, sum(2 * s > 60 for s in sizes) if sum(2 * s > 60 for s in sizes) <= k else 0)
+        trial = [list(w) for w in windows]
+        if exchange(np.array(sizes), trial, 60):
+            assert max(sum(sizes[i] for i in w) for w in trial) <= 60
+        assert sorted(i for w in trial for i in w) == list(range(len(sizes)))
+        done, left = settle(sizes, [list(w) for w in windows], 60, 2)
+        assert sorted([i for w in done for i in w] + left) == list(range(len(sizes)))
+        assert all(58 <= sum(sizes[i] for i in w) <= 60 for w in done)
+
+
+@pytest.mark.parametrize("n, changed", [(15, 2), (16, 2), (18, 2), (40, 5)])
+def test_short_leaks_with_changed_words(spark, n, changed):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(60)) + ".") for i in range(40)]
+    docs, want = [], set()
+    for d in range(60):
+        i = rng.randrange(40)
+        source = items[i][1].rstrip(".").split()
+        at = rng.randrange(60 - n + 1)
+        part = source[at : at + n]
+        for e in range(1, changed + 1):
+            part[e * n // (changed + 1)] = "changed"
+        body = [rng.choice(words) for _ in range(rng.choice((20, 400, 2000, 11_000)))]
+        cut = rng.randrange(len(body))
+        docs.append((d, " ".join(body[:cut] + part + body[cut:])))
+        want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
+    from skerry.llm import leakage
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(30)) + ". This stock sentence stands in all of the items and says nothing about any of them at all.") for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(50)) + " " + items[i][1][:150]) for i in range(12)]
+    sides = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, leaked_items(*sides).collect()))
+    monkeypatch.setattr(leakage, "BLOCK", 5)
+    assert sorted(map(tuple, leaked_items(*sides).collect())) == one and [r[:2] for r in one] == [(i, i) for i in range(12)]
+
+
+def test_tail_of_the_binomial():
+    from fractions import Fraction
+    from math import comb
+
+    from skerry.llm.truncation import hash_below, upper_tail
+
+    for n, r, p in [(5, 20, 0.1), (3, 10, 0.25), (250, 1000, 0.2), (900, 2000, 0.4), (1, 5, 0.01), (20, 20, 0.5)]:
+        q = Fraction(round(p * 100), 100)
+        exact = float(sum(comb(r, i) * q**i * (1 - q) ** (r - i) for i in range(n, r + 1)))
+        assert abs(upper_tail(np.array([n]), np.array([r]), np.array([p]))[0] / exact - 1) < 1e-8
+    assert upper_tail(np.array([2]), np.array([100]), np.array([0.5]))[0] == 1
+    spread = upper_tail(np.array([60_000_000]), np.array([10**9]), np.array([0.0599]))[0]
+    assert 0 < spread < 1e-10
+    # a sample of 4,000 of five billion rows takes its share of the hashes
+    share = 4_000 / 5e9
+    assert abs((hash_below(share) + 2**63) / 2**64 / share - 1) < 1e-6 and hash_below(1.0) == 2**63 - 1
+
+
+def test_grammars_of_formats_and_sheets():
+    from skerry.llm.residue import residue_kinds
+
+    assert residue_kinds("Growth of %(year)d fish from %s week six") == ["printf"]
+    assert residue_kinds("At the site #REF! and more") == ["sheet"]
+    assert residue_kinds("Growth rose by 5 %s and 100%s, 40 % in all; #4 in a list") == []
+    assert residue_kinds("The proxy did not respond in time.") == ["status"]
+
+
+def test_common_words_are_no_filler(spark):
+    from skerry.llm.residue import filler_vocabulary
+
+    rows = [(i, "Lorem ipsum velit sanit the cage. The cage was cleaned.") for i in range(5)] + [(10 + i, "The cage was cleaned in spring.") for i in range(40)]
+    assert filler_vocabulary(spark.createDataFrame(rows, "doc_id bigint, text string")) == ["ipsum", "lorem", "sanit", "velit"]
+    assert filler_vocabulary(spark.createDataFrame(rows[5:], "doc_id bigint, text string")) == []
