@@ -158,19 +158,15 @@ def copy_groups(rows: DataFrame, capacity: int = 20_000) -> DataFrame:
     return radix_buckets(entries, capacity).groupBy("bucket").applyInPandas(_count_bucket, "fp binary, n bigint, first_sequence int, copies bigint")
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, total: int, hot: float = HOT) -> DataFrame:
-    """``rows`` with the ``first_sequence`` and ``copies`` of their entry in ``groups``, NULL for those that have none.
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, values: list[str], total: int, hot: float = HOT) -> DataFrame:
+    """``rows`` with the ``values`` of their ``key`` in ``groups`` (one row a key), NULL for those that have none.
 
-    Entries with more than a share ``hot`` of the ``total`` rows, fewer than 1 / ``hot``, are broadcast; what
-    is shuffled by entry is spread evenly."""
+    ``n`` is the number of rows of a key.  Keys with more than a share ``hot`` of the ``total`` rows, fewer than
+    1 / ``hot``, are broadcast and their rows stay where they are; the other keys are shuffled, and spread evenly."""
     often = F.col("n") > F.lit(hot * total)
-    columns = ["fp", "first_sequence", "copies"]
-    most = rows.join(F.broadcast(groups.where(often).select("fp", F.struct(*columns[1:]).alias("hot"))), "fp", "left")
-    rest = groups.where(~often).select(F.col("fp").alias("of"), F.struct(*columns[1:]).alias("cold"))
-    # rows that are settled get a key of their own, so they do not meet in one task
-    key = F.when(F.col("hot").isNull(), F.col("fp")).otherwise(F.xxhash64(*rows.columns).cast("string").cast("binary"))
-    out = most.withColumn("of", key).join(rest, "of", "left").withColumn("g", F.coalesce("hot", "cold"))
-    return out.select(*rows.columns, F.col("g.first_sequence").alias("first_sequence"), F.col("g.copies").alias("copies"))
+    most = F.broadcast(groups.where(often).select(key, *values))
+    rest = rows.join(most.select(key), key, "left_anti").join(groups.where(~often).select(key, *values), key, "left")
+    return rows.join(most, key).unionByName(rest)
 
 
 def copies(df: DataFrame, capacity: int = 20_000, rewriter: Rewriter | None = None) -> DataFrame:
@@ -183,5 +179,5 @@ def copies(df: DataFrame, capacity: int = 20_000, rewriter: Rewriter | None = No
     rewriter = rewriter or fit_rewriter(df, ["title", "authors"])
     rows = materialize(canonical_rows(df, rewriter), "canonical")
     groups = materialize(copy_groups(rows, capacity).where("copies > 1"), "copy-groups")
-    joined = with_groups(rows.select("record_sequence", "fp"), groups, rows.count())
+    joined = with_groups(rows.select("record_sequence", "fp"), groups, "fp", ["first_sequence", "copies"], rows.count())
     return joined.select("record_sequence", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("copies", F.lit(1)).alias("copies"))

@@ -147,7 +147,8 @@ def filler_vocabulary(documents: DataFrame) -> list[str]:
     candidates = {r["w"]: r["d"] for r in beside.where(F.col("k") >= least).collect()}
     if not candidates:
         return []
-    held = documents.select(F.explode(F.filter(words(low), lambda w: w.isin(list(candidates)))).alias("w")).groupBy("w").count()
+    known = F.array(*[F.lit(w) for w in sorted(candidates)])
+    held = documents.select(F.explode(F.array_intersect(F.split(low, r"[^\p{L}]+"), known)).alias("w")).groupBy("w").count()
     return sorted(r["w"] for r in held.collect() if candidates[r["w"]] >= BESIDE * r["count"])
 
 
