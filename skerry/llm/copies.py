@@ -151,11 +151,15 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fp", "n", "first_sequence", "copies"])
 
 
-def copy_groups(rows: DataFrame, capacity: int = 20_000) -> DataFrame:
-    """``fp, n, first_sequence, copies`` of every entry of ``rows`` (of ``canonical_rows``): the rows of the
+def count_buckets(bucketed: DataFrame) -> DataFrame:
+    """``fp, n, first_sequence, copies`` of every entry of ``radix_buckets``: the rows of the
     entry, the smallest record and the number of records of its group."""
-    entries = materialize(combined(rows), "entries")
-    return radix_buckets(entries, capacity).groupBy("bucket").applyInPandas(_count_bucket, "fp binary, n bigint, first_sequence int, copies bigint")
+    return bucketed.groupBy("bucket").applyInPandas(_count_bucket, "fp binary, n bigint, first_sequence int, copies bigint")
+
+
+def copy_groups(rows: DataFrame, capacity: int = 20_000) -> DataFrame:
+    """``count_buckets`` of the entries of ``rows`` (of ``canonical_rows``)."""
+    return count_buckets(radix_buckets(materialize(combined(rows), "entries"), capacity))
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, values: list[str], total: int, hot: float = HOT) -> DataFrame:

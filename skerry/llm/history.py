@@ -3,19 +3,27 @@
 The sentences of an abstract are kept in a *segment index*: every sentence is cut into
 ``edits`` + 1 segments, stored under their length and place.  A new batch looks up selected
 substrings of its own sentences, so every stored sentence within ``edits`` edits is found
-without reading the stored texts; the records met this way are compared as wholes, and then the
-batch's segments are appended.  Records that are copies (problem 4) share one entry.
-
-Two records are compared if they share a key, have the same series marks and enough title words in
-common; what the rule for a publication demands is asked before texts are read.  A segment that
-more than ``hot`` records of one delivery hold (boilerplate) is looked up together with a word of
-the title that is rare in one of the two, which loses no pair that the rule would accept.
+without reading the stored texts; the records met this way are compared as wholes, and the
+batch's segments are appended.
+
+A ``History`` lives in a folder and is continued from there by any later session.  Each table has a part for
+each batch and is only appended to; a batch that failed half-way is accepted again and replaces its own parts.
+Of the past a batch reads fingerprints and index keys, which are numbers; the texts of past records are
+read once for all batches that wait for verification, and only by those that have candidates.
+
+Records that are copies (problem 4), and records that agree in all but the DOI, share one entry: they are linked
+to its first record, never to each other.  Two other records are compared if they share a key, have the same
+series marks and enough title words in common; what the rule for a publication demands is asked before texts are
+read.  A segment that more than ``hot`` records hold (boilerplate) is looked up together with a word of the title
+that is rare in one of the two, and where more than ``hot`` records share that as well together with a form of an
+author's name.  Neither loses a pair that the rule would accept, so the result does not depend on ``hot``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +31,12 @@ from pyspark.sql import Window as W
 
 from skerry.functions.arrow import map_lists
 from skerry.llm.components import connected_components
-from skerry.llm.copies import canonical, copy_groups
+from skerry.llm.copies import canonical, count_buckets, radix_buckets, with_groups
 from skerry.llm.editdist import distance, probes, segments
-from skerry.llm.lookalikes import Rewriter, fit_rewriter
-from skerry.llm.records import hash64, sentences, words
+from skerry.llm.lookalikes import Rewriter, lookalike_classes, token_statistics
+from skerry.llm.records import hash128, sentences, words
 from skerry.operators.multivalue import split_authors
-from skerry.sources.tables import materialize, shared_path
+from skerry.sources.tables import materialize, release, shared_path
 
 #: Sentences with fewer words are looked up only in records that have no longer ones.
 SHORT = 5
@@ -37,22 +45,37 @@ BROADCAST_ROWS = 1_000_000
 
 _SERIES = re.compile(r"\b(?:part|pt|parte|partie|teil|del|volume|vol)\b\.?\s*([ivxlc]+|\d+)\b|\b((?:1[89]|20)\d\d)\b", re.I)
 _NOTE = re.compile(r"[\[(][^\])]*\b(?:version|v|rev|revision|press|first|online|paper|preprint)\b[^\])]*[\])]", re.I)
-_CONTENT = "record_sequence int, batch_no int, fp bigint, canon binary, form string, text_hash bigint, series string, people string, body string"
+_CONTENT = "record_sequence int, batch_no int, fp binary, canon binary, form string, cls binary, series string, people string, body string"
+#: Tables of a history and their columns.
+TABLES = {
+    "tokens": "token string, n bigint",
+    "contents": _CONTENT,
+    "entries": "fp binary, node int, canon_hash bigint, canon binary, form string, n bigint",
+    "members": "record_sequence int, batch_no int, node int",
+    "classes": "cls binary, record_sequence int, node int",
+    "index": "key bigint, r int",
+    "forms": "a int, b int",
+    "candidates": "a int, b int",
+    "links": "a int, b int",
+}
 
 
 def contents(df: DataFrame, rewriter: Rewriter) -> DataFrame:
-    """One row per record with a title: canonical bytes and words, series marks, names, sentences."""
+    """One row per record with a title: canonical bytes and words, the hash of all that is compared (NULL without
+    abstract), series marks, names, sentences."""
 
     def make(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
             for seq, no, title, authors, doi, abstract in zip(*batch, strict=True):
                 title, authors = rewriter(title), rewriter(authors)
+                ws = words(title)
                 names = [" ".join(words(x)) for x in split_authors(authors)]
-                canon, form, fp = canonical(words(title), " ".join(names).split(), doi)
-                marks = sorted({(a or b).casefold() for a, b in _SERIES.findall(_NOTE.sub(" ", title))})
+                canon, form, fp = canonical(ws, " ".join(names).split(), doi)
+                series = " ".join(sorted({(a or b).casefold() for a, b in _SERIES.findall(_NOTE.sub(" ", title))}))
                 body = "\n".join(sentences(abstract))
-                out.append((seq, no, fp, canon, form, hash64(body), " ".join(marks), "\n".join(names), body))
+                cls = hash128("\0".join([" ".join(sorted(ws)), series, "\n".join(sorted(names)), body]).encode()) if body else None
+                out.append((seq, no, fp, canon, form, cls, series, "\n".join(names), body))
             yield out
 
     columns = ["record_sequence", "batch_no", "title", "authors", "doi", "abstract"]
@@ -64,19 +87,15 @@ def _indexed(body: str) -> list[str]:
     return [s for s in kept if s.count(" ") >= SHORT - 1] or kept
 
 
-def segment_keys(df: DataFrame, edits: int) -> DataFrame:
-    """``record_sequence, postings, probes``: the keys to store and to look up, as arrays."""
+def segment_keys(df: DataFrame, edits: int, ask: bool) -> DataFrame:
+    """``key, r``: the keys to look up (``ask``) or to store for each record."""
+    of = probes if ask else segments
 
     def make(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            out = []
-            for seq, body in zip(*batch, strict=True):
-                kept = _indexed(body)
-                out.append((seq, [k for s in kept for k in segments(s, edits)], [k for s in kept for k in probes(s, edits)]))
-            yield out
+            yield [(seq, [*{k for s in _indexed(body) for k in of(s, edits)}]) for seq, body in zip(*batch, strict=True)]
 
-    ddl = "record_sequence int, postings array<bigint>, probes array<bigint>"
-    return map_lists(df.select("record_sequence", "body"), make, ddl)
+    return map_lists(df.select("record_sequence", "body"), make, "r int, keys array<bigint>").select(F.explode("keys").alias("key"), "r")
 
 
 def title_words(df: DataFrame) -> DataFrame:
@@ -88,6 +107,22 @@ def title_words(df: DataFrame) -> DataFrame:
     return each.select("record_sequence", "t", (place <= size - F.ceil(F.lit(0.3) * size) + 1).alias("rare"))
 
 
+def _long_words(people: str) -> list[list[str]]:
+    """The words of each name by which it is compared."""
+    return [[w for w in x.split() if len(w) > 3] or x.split() for x in people.split("\n")]
+
+
+def name_keys(people: str, ask: bool) -> set[str]:
+    """Keys of which two author lists share one (one asking, one stored) if ``_same_people`` may hold: the words
+    with up to two letters left out, long endings, and marks by which lists without names meet all."""
+    out = {"*"} if ask or not people else set()
+    out |= {"+"} if not ask or not people else set()
+    for w in {w for ws in _long_words(people) for w in ws} if people else ():
+        out |= {"".join(c for i, c in enumerate(w) if i not in gone) for k in (0, 1, 2) for gone in combinations(range(len(w)), k)}
+        out |= {f"-{w[i:]}" for i in range(len(w) - 5)}
+    return out
+
+
 def _near(a: str, b: str) -> bool:
     return a == b or (abs(len(a) - len(b)) <= 3 and (t := 1 if min(len(a), len(b)) < 5 else 2) and distance(a, b, t) <= t)
 
@@ -119,7 +154,7 @@ def _same_people(a: str, b: str) -> bool:
     """Author lists that may be of one publication: half of the shorter list's names recur."""
     if not a or not b:
         return True
-    names = [[w for w in x.split() if len(w) > 3] or x.split() for x in a.split("\n")]
+    names = _long_words(a)
     others = [w for x in b.split("\n") for w in x.split() if len(w) > 3] or b.split()
     hits = sum(any(_near(w, o) or len(w) > 5 < len(o) and (w.endswith(o) or o.endswith(w)) for w in n for o in others) for n in names)
     return hits >= 0.5 * min(len(names), b.count("\n") + 1)
@@ -153,23 +188,26 @@ def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str],
     return _share(a[0].split("|")[0].split(), b[0].split("|")[0].split()) >= 0.6 and _same_people(a[2], b[2])
 
 
-def _likely(pairs: DataFrame, store: DataFrame) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _likely(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     """The pairs with equal series marks and the title words in common that ``same_publication`` asks for."""
-    titles = store.select("record_sequence", "series", F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " ")).alias("t"))
+    titles = titles.select("record_sequence", "series", F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " ")).alias("t"))
     for k in "ab":
         pairs = pairs.join(titles.withColumnsRenamed({"record_sequence": k, "series": f"{k}_series", "t": f"{k}_t"}), k)
     common = F.size(F.array_intersect("a_t", "b_t")) >= F.lit(0.3) * F.least(F.size("a_t"), F.size("b_t"))
     return pairs.where((F.col("a_series") == F.col("b_series")) & common).select("a", "b")
 
 
-def _verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of one publication."""
+def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) of one publication; ``store`` has the contents of all their records."""
     fields = ["form", "series", "people", "body"]
     pairs = materialize(_likely(pairs, store), "likely-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("record_sequence")).distinct()
-    ids = materialize(ids, "candidate-ids")
-    few = ids.count() <= BROADCAST_ROWS
-    needed = store.join(F.broadcast(ids) if few else ids, "record_sequence", "left_semi")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("record_sequence")).distinct(), "candidate-ids")
+    needed = materialize(store.select("record_sequence", *fields).join(_few(ids), "record_sequence", "left_semi"), "candidate-texts")
     joined = pairs.join(needed.select(F.col("record_sequence").alias("a"), *[F.col(f).alias(f"a_{f}") for f in fields]), "a")
     joined = joined.join(needed.select(F.col("record_sequence").alias("b"), *[F.col(f).alias(f"b_{f}") for f in fields]), "b")
 
@@ -177,91 +215,184 @@ def _verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
         for batch in batches:
             yield [(r[0], r[1]) for r in zip(*batch, strict=True) if same_publication(r[2:6], r[6:10])]
 
-    return map_lists(joined.select("a", "b", *[f"{k}_{f}" for k in "ab" for f in fields]), check, "a int, b int")
+    found = materialize(map_lists(joined.select("a", "b", *[f"{k}_{f}" for k in "ab" for f in fields]), check, "a int, b int"), "verified-pairs")
+    release(pairs, ids, needed)
+    return found
 
 
 class History:
-    """Everything accepted so far: texts and segment index, as tables in the shared folder that
-    each batch is appended to."""
-
-    def __init__(self, spark: SparkSession, edits: int = 1, hot: int = 500) -> None:
-        self.spark, self.edits, self.hot = spark, edits, hot
-        self.keys_path, self.hot_path = shared_path(spark, "segment-index"), shared_path(spark, "hot-keys")
-        self.batches: list[int] = []
-
-    def _keys(self, batches: list[int]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.keys_path}/batch={b}" for b in batches])
-
-    def add(self, batch: int, new: DataFrame, store: DataFrame) -> DataFrame:
-        """Append a batch's rows (of ``contents``) and return its candidate pairs ``a`` < ``b`` with
-        the batch itself and all earlier ones.  ``store`` has the texts of all of them; it is read
-        only for boilerplate."""
-        segment_keys(new, self.edits).write.parquet(f"{self.keys_path}/batch={batch}")
-        self.batches.append(batch)
-        own = self._keys([batch])
-        counts = own.select(F.explode("postings").alias("key")).groupBy("key").count().where(F.col("count") > self.hot).select("key")
-        counts.write.mode("append").parquet(self.hot_path)
-        hot = self.spark.read.parquet(self.hot_path).distinct()
-        n_hot = hot.count()
-        asked = own.select(F.col("record_sequence").alias("p"), F.explode("probes").alias("key"))
-        stored = self._keys(self.batches).select(F.col("record_sequence").alias("r"), F.explode("postings").alias("key"))
-        pairs = None
-        if n_hot:
-            held = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-            pairs = self._hot_pairs(own, held, store)
-            asked, stored = asked.join(held, "key", "left_anti"), stored.join(held, "key", "left_anti")
-        n_probes = own.agg(F.sum(F.size("probes"))).first()[0] or 0
-        found = stored.join(F.broadcast(asked) if n_probes <= BROADCAST_ROWS else asked, "key").where("p <> r").select("p", "r")
-        if pairs is not None:
-            found = found.unionByName(pairs)
-        return found.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
-
-    def _hot_pairs(self, own: DataFrame, hot: DataFrame, store: DataFrame) -> DataFrame:
-        """Records that share a hot key and a title word that is rare in one of the two: all that
-        ``same_publication`` would accept are among them."""
-        all_keys = self._keys(self.batches)
-        ask = own.select("record_sequence", F.explode("probes").alias("key")).join(hot, "key", "left_semi")
-        have = all_keys.select("record_sequence", F.explode("postings").alias("key")).join(hot, "key", "left_semi")
-        ids = materialize(have.select("record_sequence").unionByName(ask.select("record_sequence")).distinct(), "hot-records")
-        titles = materialize(title_words(store.select("record_sequence", "form").join(ids, "record_sequence", "left_semi")), "hot-titles")
-        ask = ask.join(titles, "record_sequence").select(F.col("record_sequence").alias("p"), "key", "t", F.col("rare").alias("rare_p"))
-        have = have.join(titles, "record_sequence").select(F.col("record_sequence").alias("r"), "key", "t", F.col("rare").alias("rare_r"))
-        return have.join(ask, ["key", "t"]).where("rare_p or rare_r").select("p", "r").distinct()
-
-
-def publications(df: DataFrame, rewriter: Rewriter | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> DataFrame:
+    """Everything accepted so far, as tables in a folder that all executors share.
+
+    ``deliver`` takes records in, ``accept`` checks and indexes one delivered batch, ``verify`` compares the
+    candidates of the batches accepted since the last time, ``publications`` gives the result.  A new
+    ``History`` of the same folder goes on where the last one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> None:
+        self.spark, self.edits, self.hot, self.capacity = spark, edits, hot, capacity
+        self.path = path or shared_path(spark, "history")
+
+    def parts(self, name: str) -> list[int]:
+        """Batches of which a table has a finished part."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.path}/{name}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        # the parts of contents are written together, so their mark is that of the table
+        whole = [p for p in found if p.getName().startswith("batch=") and (name == "contents" or fs.exists(path(p, "_SUCCESS")))]
+        return sorted(int(p.getName().split("=")[1]) for p in whole)
+
+    def read(self, name: str, batches: list[int]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{name}/batch={b}" for b in batches])
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        return self.read(name, [batch])
+
+    @property
+    def accepted(self) -> list[int]:
+        return self.parts("candidates")
+
+    def deliver(self, df: DataFrame) -> list[int]:
+        """Take in the records of one or more batches, in one pass; the batches that wait to be accepted."""
+        fields = df.where("batch_no is not null").select("title", "authors")
+        last = df.agg(F.max("batch_no")).first()[0]
+        if last is not None:
+            self._write(token_statistics(fields, ["title", "authors"]), "tokens", last)
+            counts = self.read("tokens", self.parts("tokens")).groupBy("token").agg(F.sum("n").alias("n")).collect()
+            rows = contents(df, Rewriter(lookalike_classes({r["token"]: r["n"] for r in counts})))
+            rows.withColumn("batch", F.col("batch_no")).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/contents")
+        return sorted(set(self.parts("contents")) - set(self.accepted))
+
+    def accept(self, batch: int) -> None:
+        """Link the batch's copies, index its new texts and write its candidates among all accepted records."""
+        before = [b for b in self.accepted if b < batch]
+        rows = self.read("contents", [batch])
+        total = rows.count()
+        # entries: records that are equal up to form; an entry's node is its first record
+        seen = self.read("entries", before).select("fp", F.col("node").alias("known"))
+        mine = rows.groupBy("fp").agg(F.min(F.struct("record_sequence", "canon", "form")).alias("m"), F.count("*").alias("n")).join(seen, "fp", "left")
+        mine = mine.select("fp", F.coalesce("known", "m.record_sequence").alias("node"), F.xxhash64("m.canon").alias("canon_hash"), "m.canon", "m.form", "n", F.col("known").isNull().alias("fresh"))
+        mine = materialize(mine, "batch-entries")
+        fresh = self._write(mine.where("fresh").drop("fresh"), "entries", batch)
+        nodes = with_groups(rows.select("record_sequence", "batch_no", "fp", "cls"), mine, "fp", ["node"], total)
+        nodes = materialize(nodes.select("record_sequence", "batch_no", "cls", "node"), "batch-nodes")
+        self._write(nodes.drop("cls"), "members", batch)
+        links = self._copy_links(fresh, before)
+        # classes: texts that agree in all that is compared
+        found = nodes.where("cls is not null").groupBy("cls").agg(F.min(F.struct("record_sequence", "node")).alias("m"), F.count("*").alias("n"))
+        known = self.read("classes", before).select("cls", F.col("node").alias("known"))
+        found = materialize(found.join(known, "cls", "left").select("cls", "m.record_sequence", F.coalesce("known", "m.node").alias("head"), "n", F.col("known").isNull().alias("fresh")), "batch-classes")
+        heads = self._write(found.where("fresh").select("cls", "record_sequence", F.col("head").alias("node")), "classes", batch)
+        same = with_groups(nodes.where("cls is not null").select("cls", "node"), found, "cls", ["head"], total)
+        links = links.unionByName(same.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+        self._write(links.distinct(), "forms", batch)
+        # texts of the new classes go into the index
+        new = rows.join(heads.select("record_sequence"), "record_sequence", "left_semi")
+        self._write(segment_keys(new, self.edits, ask=False), "index", batch)
+        self._write(self._candidates(new, [*before, batch]), "candidates", batch)
+        release(mine, nodes, found)
+
+    def _copy_links(self, fresh: DataFrame, before: list[int]) -> DataFrame:
+        """Links (``a``, ``b``) of entries with equal canonical bytes and words."""
+        stored = self.read("entries", before)
+        if before:
+            stored = stored.join(_few(fresh.select("canon_hash").distinct()), "canon_hash", "left_semi")
+        both = fresh.unionByName(stored)
+        several = both.groupBy("canon_hash").agg(F.count("*").alias("k")).where("k > 1")
+        both = materialize(both.join(several, "canon_hash", "left_semi").withColumn("first_sequence", F.col("node")), "like-entries")
+        groups = count_buckets(radix_buckets(both.select("fp", "canon", "form", "n", "first_sequence"), self.capacity))
+        return both.select("fp", "node").join(groups.select("fp", "first_sequence"), "fp").where("node <> first_sequence").select(F.col("node").alias("a"), F.col("first_sequence").alias("b"))
+
+    def _candidates(self, new: DataFrame, batches: list[int]) -> DataFrame:
+        """Pairs ``a`` < ``b`` of a new record and an indexed one (or two new ones) that share a key."""
+        asked = segment_keys(new, self.edits, ask=True).withColumnRenamed("r", "p")
+        stored = self.read("index", batches)
+        # of each segment there are probes in 2 * edits + 1 lengths, at no more than as many places
+        few = self.read("index", batches[-1:]).count() * (2 * self.edits + 1) ** 2 <= BROADCAST_ROWS
+        keys = asked.select("key").distinct()
+        met = materialize(stored.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "met-keys")
+        held = materialize(met.groupBy("key").agg(F.count("*").alias("n")), "held-keys")
+        hot = materialize(held.where(F.col("n") > self.hot).select("key"), "hot-keys")
+        asked = materialize(asked.join(_few(held), "key").select("key", "p"), "asked-keys")
+        some = not hot.isEmpty()
+        cold_asked, cold_met = (asked.join(_few(hot), "key", "left_anti"), met.join(_few(hot), "key", "left_anti")) if some else (asked, met)
+        pairs = cold_met.join(cold_asked, "key").select("p", "r")
+        if some:
+            pairs = pairs.unionByName(self._hot_pairs(asked.join(_few(hot), "key", "left_semi"), met.join(_few(hot), "key", "left_semi"), batches))
+        return pairs.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
+
+    def _hot_pairs(self, asked: DataFrame, met: DataFrame, batches: list[int]) -> DataFrame:
+        """Records that share a hot key, series marks and a title word that is rare in one of the two, and where
+        these are many too a form of a name: all that ``same_publication`` would accept are among them."""
+        ids = materialize(asked.select(F.col("p").alias("record_sequence")).unionByName(met.select(F.col("r").alias("record_sequence"))).distinct(), "hot-records")
+        facts = materialize(self.read("contents", batches).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
+        titles = materialize(title_words(facts).join(facts.select("record_sequence", "series"), "record_sequence"), "hot-titles")
+        on = ["key", "t", "series"]
+        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p"}), "p")
+        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r"}), "r")
+        rare = F.col("rare_p") | F.col("rare_r")
+        crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select(*on), "crowded-words")
+        if crowded.isEmpty():
+            return have.join(ask, on).where(rare).select("p", "r").distinct()
+        crowd = _few(crowded)
+        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(rare).select("p", "r")
+
+        def named(df: DataFrame, asking: bool) -> DataFrame:
+            def make(rows: Iterator[list[list]]) -> Iterator[list[tuple]]:
+                for seq, people in rows:
+                    yield [(s, w) for s, x in zip(seq, people, strict=True) for w in name_keys(x, asking)]
+
+            who = "p" if asking else "r"
+            inside = df.join(crowd, on, "left_semi")
+            keys = map_lists(facts.join(inside.select(F.col(who).alias("record_sequence")).distinct(), "record_sequence", "left_semi").select("record_sequence", "people"), make, f"{who} int, w string")
+            return inside.join(keys, who)
+
+        close = named(have, False).join(named(ask, True), [*on, "w"]).where(rare).select("p", "r")
+        return plain.unionByName(close).distinct()
+
+    def verify(self) -> None:
+        """Compare the candidates of all batches accepted since the last time, reading the texts once."""
+        done = max(self.parts("links"), default=None)
+        waiting = [b for b in self.accepted if done is None or b > done]
+        if waiting:
+            found = verified(self.read("candidates", waiting), self.read("contents", self.accepted))
+            self._write(found, "links", waiting[-1])
+            release(found)
+
+    def publications(self) -> DataFrame:
+        """``record_sequence, batch_no, first_sequence, first_batch`` of every accepted record.
+
+        Of the past only record numbers and links are read, no texts."""
+        members = self.read("members", self.accepted)
+        node = self.read("classes", self.accepted).select("record_sequence", "node")
+        links = self.read("links", self.parts("links"))
+        for k in "ab":
+            links = links.join(node.withColumnsRenamed({"record_sequence": k, "node": f"n{k}"}), k)
+        links = links.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(self.read("forms", self.accepted))
+        groups = connected_components(links)
+        per = members.groupBy("node").agg(F.min("record_sequence").alias("s"), F.min("batch_no").alias("b"), F.count("*").alias("n"))
+        per = materialize(per.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component"), "nodes")
+        first = per.groupBy("g").agg(F.min("s").alias("first_sequence"), F.min("b").alias("first_batch"), F.sum("n").alias("size")).where("size > 1")
+        # single records are their own first; the others find theirs by their node
+        known = materialize(per.join(first, "g").select("node", "n", "first_sequence", "first_batch"), "first-records")
+        out = with_groups(members, known, "node", ["first_sequence", "first_batch"], members.count())
+        return out.select("record_sequence", "batch_no", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("first_batch", "batch_no").alias("first_batch"))
+
+
+def publications(df: DataFrame, path: str | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> DataFrame:
     """``record_sequence, batch_no, first_sequence, first_batch`` of every record with title and batch:
     the smallest record and the earliest batch of its publication.
 
     Expects ``record_sequence, batch_no, title, authors, doi, abstract``; other columns are ignored.
-    Batches are taken in order, each checked against those before it and against itself.  NULL
+    Batches are accepted in order, each checked against those before it and against itself.  NULL
     authors agree with any, a NULL or empty abstract with none (such records are linked by being
     copies only); NULL titles and batches give no row.  Repeated rows fall into one publication.
     """
-    spark = df.sparkSession
-    rewriter = rewriter or fit_rewriter(df, ["title", "authors"])
-    path = shared_path(spark, "contents")
-    contents(df, rewriter).write.partitionBy("batch_no").parquet(path)
-    store = spark.read.schema(_CONTENT).parquet(path)
-    slim = store.select("record_sequence", "batch_no", "fp", "text_hash")
-    groups = copy_groups(store, capacity).where("copies > 1").select("fp", F.col("first_sequence").alias("g"))
-    slim = slim.join(groups, "fp", "left").select("record_sequence", "batch_no", "text_hash", F.coalesce("g", "record_sequence").alias("g"))
-    slim = materialize(slim, "classes")
-    firsts = slim.where(F.col("text_hash") != hash64("")).groupBy("g", "text_hash").agg(F.min(F.struct("batch_no", "record_sequence")).alias("m"))
-    firsts = materialize(firsts.select("g", F.col("m.batch_no").alias("first_batch"), F.col("m.record_sequence").alias("record_sequence")), "firsts")
-    history, links_path = History(spark, edits, hot), shared_path(spark, "publication-links")
-    batches = sorted(r[0] for r in firsts.select("first_batch").distinct().collect())
-    for batch in batches:
-        ids = firsts.where(F.col("first_batch") == batch).select("record_sequence")
-        new = store.where(F.col("batch_no") == batch).join(ids, "record_sequence", "left_semi")
-        so_far = store.where(F.col("batch_no") <= batch)
-        candidates = materialize(history.add(batch, new, so_far), "candidates")
-        _verified(candidates, so_far).write.mode("append").parquet(links_path)
-    if batches:
-        of = firsts.select("record_sequence", "g")
-        links = spark.read.parquet(links_path).join(of.withColumnsRenamed({"record_sequence": "a", "g": "ga"}), "a").join(of.withColumnsRenamed({"record_sequence": "b", "g": "gb"}), "b")
-        joined = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-        slim = slim.join(joined.withColumnsRenamed({"node": "g", "component": "c"}), "g", "left").withColumn("g", F.coalesce("c", "g"))
-    first = slim.groupBy("g").agg(F.min("record_sequence").alias("first_sequence"), F.min("batch_no").alias("first_batch"), F.count("*").alias("n")).where("n > 1")
-    out = slim.join(first, "g", "left")
-    return out.select("record_sequence", "batch_no", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("first_batch", "batch_no").alias("first_batch"))
+    history = History(df.sparkSession, path, edits, hot, capacity)
+    for batch in history.deliver(df):
+        history.accept(batch)
+    history.verify()
+    return history.publications()

@@ -50,8 +50,10 @@ _BREAK = re.compile(r"(?<=[^\W\d_])[-‐]\n\s*(?=[^\W\d_])")
 
 def plain_words(text: str) -> list[str]:
     """Case-folded words without markup, entities, soft hyphens and end-of-line hyphens."""
-    text = _MARKUP.sub(lambda m: html.unescape(m.group()) if m.group()[0] == "&" else " ", text)
-    return words(_BREAK.sub("-", text.replace("\xad", "").replace("​", "")))
+    if any(x in text for x in ("<", "&", "**", "__", "~~")):
+        text = _MARKUP.sub(lambda m: html.unescape(m.group()) if m.group()[0] == "&" else " ", text)
+    text = text.replace("\xad", "").replace("\u200b", "")
+    return words(_BREAK.sub("-", text) if "-\n" in text or "‐\n" in text else text)
 
 
 def sentence_words(text: str) -> list[list[str]]:
@@ -145,13 +147,15 @@ class Items:
         containment reach the threshold of the document's size class, and the exact one that of a leak."""
         k = next(k for n, k in reversed(SIZES) if size >= n)
         least = k - LOST
-        held = np.unique(places)
+        if len(places) < least:
+            return places[:0]
+        mask = np.zeros(len(self.sketched[k]), dtype=bool)
+        mask[places] = True
+        held = np.flatnonzero(mask)
         if len(held) < least or not (held[least - 1 :] - held[: len(held) - least + 1] < SPAN).any():
             return held[:0]
-        bits = self.sketched[k][held]
-        found = np.concatenate([held[(bits >> d) & 1 == 1] - d for d in range(SPAN)])
-        start, n = np.unique(found, return_counts=True)
-        start = start[n >= least]
+        at, back = np.nonzero(self.sketched[k][held][:, None] >> np.arange(SPAN) & 1)
+        start = np.flatnonzero(np.bincount(held[at] - back) >= least)
         return start[np.searchsorted(held, start + SPAN) - np.searchsorted(held, start) >= SPAN - LOST]
 
 

@@ -30,7 +30,10 @@ def hash128(data: bytes) -> bytes:
 
 def words(text: str | None) -> list[str]:
     """Case-folded words in text order; apostrophes inside a word are dropped."""
-    return _WORD.findall(_APOSTROPHE.sub("", text.casefold())) if text else []
+    if not text:
+        return []
+    text = text.casefold()
+    return _WORD.findall(text if text.isascii() and "'" not in text and "`" not in text else _APOSTROPHE.sub("", text))
 
 
 def author_words(text: str | None) -> list[str]:

@@ -86,7 +86,7 @@ _NEEDS = {
     "angle": ["<"],
     "filler": ["lorem", "goes here", "xxx", "sample paragraph", "sample text", "this is ", "undefined", "[object", "nan"],
     "instruction": ["replace this", " here", "(max", "by the author", "tbd", "tbc", "todo", ": xxx", ": n"],
-    "status": ["bad request", "unauthorized", "forbidden", "not found", "time-out", "timeout", "gone", "too many", "server error", "not allowed", "not implemented", "bad gateway", "unavailable", "http", "error", "fehler", "erreur", "feil", "unexpected", "unable to", "did not", "didn't", "failed to", "proxy/", "nginx/", "apache/"],
+    "status": ["bad request", "unauthorized", "forbidden", "not found", "time-out", "timeout", "gone", "too many", "server error", "not allowed", "not implemented", "bad gateway", "unavailable", "http", "error", "fehler", "erreur", "feil", "unexpected condition", "unexpected error", "unable to service", "unable to handle", "unable to process", *[f"{a} {b}" for a in ("did not", "didn't", "failed to") for b in ("answer", "respond", "reply")], "proxy/", "nginx/", "apache/"],
     "missing": ["on this server", "oops", "find that", "no longer exists", "not found", "nicht gefunden", "introuvable", "no encontrada", "ikke funnet", "finnes ikke", "n'existe plus"],
     "blocked": ["denied", "have permission", "too many requests", "checking your", "you are", "session has", "to continue", "sign in", "log in", "been blocked", "a robot", "captcha"],
     "program": ["traceback", "error", "exception", "\tat ", " at ", "on line", "to server", "exhausted", "segmentation"],
