@@ -6,10 +6,11 @@ substrings of its own sentences, so every stored sentence within ``edits`` edits
 without reading the stored texts; the records met this way are compared as wholes, and the
 batch's segments are appended.
 
-A ``History`` lives in a folder and is continued from there by any later session.  Each table has a part for
-each batch and is only appended to; a batch that failed half-way is accepted again and replaces its own parts.
-Of the past a batch reads fingerprints and index keys, which are numbers; the texts of past records are
-read once for all batches that wait for verification, and only by those that have candidates.
+A ``History`` lives in a folder and is continued from there by any later session.  Batches that wait are accepted
+together or one by one, with the same result.  Each table has a part for each acceptance and is only appended to;
+one that failed half-way is done again and replaces its own parts.  Of the past an acceptance reads
+fingerprints and index keys, which are numbers; the texts of past records are read once for all that wait
+for verification, and only where there are candidates.
 
 Records that are copies (problem 4), and records that agree in all but the DOI, share one entry: they are linked
 to its first record, never to each other.  Two other records are compared if they share a key, have the same
@@ -56,6 +57,7 @@ TABLES = {
     "index": "key bigint, r int",
     "forms": "a int, b int",
     "candidates": "a int, b int",
+    "accepted": "batch_no int",
     "links": "a int, b int",
 }
 
@@ -223,7 +225,7 @@ def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
 class History:
     """Everything accepted so far, as tables in a folder that all executors share.
 
-    ``deliver`` takes records in, ``accept`` checks and indexes one delivered batch, ``verify`` compares the
+    ``deliver`` takes records in, ``accept`` checks and indexes delivered batches, ``verify`` compares the
     candidates of the batches accepted since the last time, ``publications`` gives the result.  A new
     ``History`` of the same folder goes on where the last one stopped.
     """
@@ -233,7 +235,7 @@ class History:
         self.path = path or shared_path(spark, "history")
 
     def parts(self, name: str) -> list[int]:
-        """Batches of which a table has a finished part."""
+        """The finished parts of a table, by the last batch of each acceptance (contents: by batch)."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         root = path(f"{self.path}/{name}")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -253,7 +255,13 @@ class History:
 
     @property
     def accepted(self) -> list[int]:
-        return self.parts("candidates")
+        """The parts of finished acceptances."""
+        return self.parts("accepted")
+
+    def waiting(self) -> list[int]:
+        """Delivered batches that are not accepted yet."""
+        done = {r[0] for r in self.read("accepted", self.accepted).collect()}
+        return [b for b in self.parts("contents") if b not in done]
 
     def deliver(self, df: DataFrame) -> list[int]:
         """Take in the records of one or more batches, in one pass; the batches that wait to be accepted."""
@@ -264,12 +272,13 @@ class History:
             counts = self.read("tokens", self.parts("tokens")).groupBy("token").agg(F.sum("n").alias("n")).collect()
             rows = contents(df, Rewriter(lookalike_classes({r["token"]: r["n"] for r in counts})))
             rows.withColumn("batch", F.col("batch_no")).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/contents")
-        return sorted(set(self.parts("contents")) - set(self.accepted))
+        return self.waiting()
 
-    def accept(self, batch: int) -> None:
-        """Link the batch's copies, index its new texts and write its candidates among all accepted records."""
-        before = [b for b in self.accepted if b < batch]
-        rows = self.read("contents", [batch])
+    def accept(self, batches: list[int]) -> None:
+        """Link the batches' copies, index their new texts and write their candidates among all accepted records."""
+        batch = max(batches)
+        before = [b for b in self.accepted if b != batch]
+        rows = self.read("contents", batches)
         total = rows.count()
         # entries: records that are equal up to form; an entry's node is its first record
         seen = self.read("entries", before).select("fp", F.col("node").alias("known"))
@@ -294,6 +303,7 @@ class History:
         self._write(segment_keys(new, self.edits, ask=False), "index", batch)
         self._write(self._candidates(new, [*before, batch]), "candidates", batch)
         release(mine, nodes, found)
+        self._write(self.spark.createDataFrame([(b,) for b in batches], TABLES["accepted"]), "accepted", batch)
 
     def _copy_links(self, fresh: DataFrame, before: list[int]) -> DataFrame:
         """Links (``a``, ``b``) of entries with equal canonical bytes and words."""
@@ -309,26 +319,26 @@ class History:
     def _candidates(self, new: DataFrame, batches: list[int]) -> DataFrame:
         """Pairs ``a`` < ``b`` of a new record and an indexed one (or two new ones) that share a key."""
         asked = segment_keys(new, self.edits, ask=True).withColumnRenamed("r", "p")
-        stored = self.read("index", batches)
+        met = self.read("index", batches)
         # of each segment there are probes in 2 * edits + 1 lengths, at no more than as many places
         few = self.read("index", batches[-1:]).count() * (2 * self.edits + 1) ** 2 <= BROADCAST_ROWS
-        keys = asked.select("key").distinct()
-        met = materialize(stored.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "met-keys")
-        held = materialize(met.groupBy("key").agg(F.count("*").alias("n")), "held-keys")
-        hot = materialize(held.where(F.col("n") > self.hot).select("key"), "hot-keys")
-        asked = materialize(asked.join(_few(held), "key").select("key", "p"), "asked-keys")
-        some = not hot.isEmpty()
-        cold_asked, cold_met = (asked.join(_few(hot), "key", "left_anti"), met.join(_few(hot), "key", "left_anti")) if some else (asked, met)
-        pairs = cold_met.join(cold_asked, "key").select("p", "r")
-        if some:
-            pairs = pairs.unionByName(self._hot_pairs(asked.join(_few(hot), "key", "left_semi"), met.join(_few(hot), "key", "left_semi"), batches))
+        if few:  # a small batch picks the postings it asks for, and nothing stored is shuffled
+            asked = F.broadcast(materialize(asked, "asked-keys"))
+            met = materialize(met.join(F.broadcast(asked.select("key").distinct()), "key", "left_semi"), "met-keys")
+        hot = materialize(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("key"), "hot-keys")
+        if hot.isEmpty():
+            pairs = met.join(asked, "key").select("p", "r")
+        else:
+            least = _few(hot)
+            cold = met.join(least, "key", "left_anti").join(asked.join(least, "key", "left_anti"), "key").select("p", "r")
+            pairs = cold.unionByName(self._hot_pairs(asked.join(least, "key", "left_semi"), met.join(least, "key", "left_semi")))
         return pairs.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
 
-    def _hot_pairs(self, asked: DataFrame, met: DataFrame, batches: list[int]) -> DataFrame:
+    def _hot_pairs(self, asked: DataFrame, met: DataFrame) -> DataFrame:
         """Records that share a hot key, series marks and a title word that is rare in one of the two, and where
         these are many too a form of a name: all that ``same_publication`` would accept are among them."""
         ids = materialize(asked.select(F.col("p").alias("record_sequence")).unionByName(met.select(F.col("r").alias("record_sequence"))).distinct(), "hot-records")
-        facts = materialize(self.read("contents", batches).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
+        facts = materialize(self.read("contents", self.parts("contents")).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
         titles = materialize(title_words(facts).join(facts.select("record_sequence", "series"), "record_sequence"), "hot-titles")
         on = ["key", "t", "series"]
         ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p"}), "p")
@@ -355,10 +365,12 @@ class History:
 
     def verify(self) -> None:
         """Compare the candidates of all batches accepted since the last time, reading the texts once."""
-        done = max(self.parts("links"), default=None)
-        waiting = [b for b in self.accepted if done is None or b > done]
+        done = self.parts("links")
+        waiting = [b for b in self.accepted if b not in done]
         if waiting:
-            found = verified(self.read("candidates", waiting), self.read("contents", self.accepted))
+            found = verified(self.read("candidates", waiting), self.read("contents", self.parts("contents")))
+            for b in waiting[:-1]:
+                self._write(self.spark.createDataFrame([], TABLES["links"]), "links", b)
             self._write(found, "links", waiting[-1])
             release(found)
 
@@ -387,12 +399,12 @@ def publications(df: DataFrame, path: str | None = None, edits: int = 1, hot: in
     the smallest record and the earliest batch of its publication.
 
     Expects ``record_sequence, batch_no, title, authors, doi, abstract``; other columns are ignored.
-    Batches are accepted in order, each checked against those before it and against itself.  NULL
+    The batches are delivered and accepted together, each checked against those before it and against itself.  NULL
     authors agree with any, a NULL or empty abstract with none (such records are linked by being
     copies only); NULL titles and batches give no row.  Repeated rows fall into one publication.
     """
     history = History(df.sparkSession, path, edits, hot, capacity)
-    for batch in history.deliver(df):
-        history.accept(batch)
+    if batches := history.deliver(df):
+        history.accept(batches)
     history.verify()
     return history.publications()

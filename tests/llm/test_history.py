@@ -139,16 +139,17 @@ def test_sessions_continue_one_history(spark, tmp_path):
     for batch in range(3):  # each batch is delivered to a session of its own
         history = History(spark.newSession(), path)
         assert history.deliver(spark.createDataFrame([r for r in rows if r[1] == batch], SCHEMA)) == [batch]
-        history.accept(batch)
+        history.accept([batch])
         history.verify()
     assert result(history.publications()) == want
     # a batch that failed before its last table was written is accepted again
     import shutil
 
-    shutil.rmtree(tmp_path / "history" / "candidates" / "batch=2")
+    shutil.rmtree(tmp_path / "history" / "accepted" / "batch=2")
     shutil.rmtree(tmp_path / "history" / "links" / "batch=2")
     again = History(spark, path)
-    again.accept(2)
+    assert again.waiting() == [2]
+    again.accept([2])
     again.verify()
     assert result(again.publications()) == want
 
