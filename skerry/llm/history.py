@@ -319,20 +319,28 @@ class History:
     def _candidates(self, new: DataFrame, batches: list[int]) -> DataFrame:
         """Pairs ``a`` < ``b`` of a new record and an indexed one (or two new ones) that share a key."""
         asked = segment_keys(new, self.edits, ask=True).withColumnRenamed("r", "p")
-        met = self.read("index", batches)
+        met = self.read("index", batches[:-1]).withColumn("old", F.lit(True)).unionByName(self.read("index", batches[-1:]).withColumn("old", F.lit(False)))
         # of each segment there are probes in 2 * edits + 1 lengths, at no more than as many places
         few = self.read("index", batches[-1:]).count() * (2 * self.edits + 1) ** 2 <= BROADCAST_ROWS
         if few:  # a small batch picks the postings it asks for, and nothing stored is shuffled
             asked = F.broadcast(materialize(asked, "asked-keys"))
             met = materialize(met.join(F.broadcast(asked.select("key").distinct()), "key", "left_semi"), "met-keys")
         hot = materialize(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("key"), "hot-keys")
-        if hot.isEmpty():
-            pairs = met.join(asked, "key").select("p", "r")
-        else:
-            least = _few(hot)
-            cold = met.join(least, "key", "left_anti").join(asked.join(least, "key", "left_anti"), "key").select("p", "r")
-            pairs = cold.unionByName(self._hot_pairs(asked.join(least, "key", "left_semi"), met.join(least, "key", "left_semi")))
-        return pairs.where("p <> r").select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
+        some, least = not hot.isEmpty(), _few(hot)
+        cold = met.join(least, "key", "left_anti") if some else met
+        # a key that is not hot has a short list of holders; what is asked is shuffled once, to those and to the hot keys
+        lists = cold.groupBy("key").agg(F.collect_list(F.struct("r", "old")).alias("holders"))
+        if some:
+            lists = lists.unionByName(hot.withColumn("holders", F.lit(None)), allowMissingColumns=True)
+        hits = lists.join(asked, "key")
+        if some:
+            hits = materialize(hits, "key-hits")
+        pairs = hits.select("p", F.inline("holders"))
+        if some:
+            pairs = pairs.unionByName(self._hot_pairs(hits.where("holders is null").select("key", "p"), met.join(least, "key", "left_semi")))
+        # two new records ask for each other, so one direction will do
+        pairs = pairs.where("p > r or (old and p <> r)")
+        return pairs.select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct()
 
     def _hot_pairs(self, asked: DataFrame, met: DataFrame) -> DataFrame:
         """Records that share a hot key, series marks and a title word that is rare in one of the two, and where
@@ -346,9 +354,9 @@ class History:
         rare = F.col("rare_p") | F.col("rare_r")
         crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select(*on), "crowded-words")
         if crowded.isEmpty():
-            return have.join(ask, on).where(rare).select("p", "r").distinct()
+            return have.join(ask, on).where(rare).select("p", "r", "old")
         crowd = _few(crowded)
-        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(rare).select("p", "r")
+        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(rare).select("p", "r", "old")
 
         def named(df: DataFrame, asking: bool) -> DataFrame:
             def make(rows: Iterator[list[list]]) -> Iterator[list[tuple]]:
@@ -360,8 +368,8 @@ class History:
             keys = map_lists(facts.join(inside.select(F.col(who).alias("record_sequence")).distinct(), "record_sequence", "left_semi").select("record_sequence", "people"), make, f"{who} int, w string")
             return inside.join(keys, who)
 
-        close = named(have, False).join(named(ask, True), [*on, "w"]).where(rare).select("p", "r")
-        return plain.unionByName(close).distinct()
+        close = named(have, False).join(named(ask, True), [*on, "w"]).where(rare).select("p", "r", "old")
+        return plain.unionByName(close)
 
     def verify(self) -> None:
         """Compare the candidates of all batches accepted since the last time, reading the texts once."""
