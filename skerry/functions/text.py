@@ -126,3 +126,31 @@ def true(c: Column) -> Column:
 def in_set(c: Column, values: list) -> Column:
     """Membership that is FALSE, not NULL, for NULL."""
     return F.coalesce(c.isin(values), F.lit(False))
+
+
+def not_in_set(c: Column, values: list) -> Column:
+    """TRUE for what is not among the values, NULL included."""
+    return ~in_set(c, values)
+
+
+def shorten(c: Column, width: int) -> Column:
+    """At most ``width`` characters, cut texts ending in an ellipsis."""
+    return F.when(F.char_length(c) > width, F.concat(F.rtrim(F.substring(c, 1, width - 1)), F.lit("…"))).otherwise(c)
+
+
+def around(c: Column, start: Column, end: Column, width: int) -> Column:
+    """The characters from ``width`` before ``start`` to ``width`` after ``end`` (from 1, inclusive), squished."""
+    first = F.greatest(F.lit(1), start - width)
+    return squish(F.substring(c, first, end + width - first + 1))
+
+
+def split_columns(c: Column, pattern: str, names: list[str]) -> list[Column]:
+    """The parts of a text as columns, NULL where there are fewer; further ones are dropped."""
+    parts = F.split(c, pattern)
+    return [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(names)]
+
+
+def set_text(c: Column, sep: str = ";") -> Column:
+    """A separated list as a text that is equal for equal sets: trimmed, lower case, sorted, no repeats, no blanks."""
+    items = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), sep), lambda x: squish(x))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(items, lambda x: x != ""))), "; ")

@@ -14,14 +14,14 @@ RESPONSE = "array<struct<path_id:string,reason:string>>"
 Classifier = Callable[[str], list[tuple[str, str]]]
 
 
-def keyword_classifier(cues: dict[str, list[str]], least: int = 1, most: int = 4) -> Classifier:
-    """A stand-in for a remote model: the paths with the most cue terms in the text, ties by id."""
+def keyword_classifier(cues: dict[str, list[str]], least: int = 1) -> Classifier:
+    """A stand-in for a remote model: all paths with cue terms in the text, those with the most first, ties by id."""
 
     def classify(text: str) -> list[tuple[str, str]]:
         low = text.lower()
         found = [(pid, [c for c in terms if c.lower() in low]) for pid, terms in cues.items()]
         ranked = sorted(((p, hit) for p, hit in found if len(hit) >= least), key=lambda x: (-len(x[1]), x[0]))
-        return [(p, "; ".join(hit)) for p, hit in ranked[:most]]
+        return [(p, "; ".join(hit)) for p, hit in ranked]
 
     return classify
 
@@ -36,7 +36,7 @@ def classify_records(df: DataFrame, key: str, text: Column, classifier: Classifi
                 try:
                     out.append((k, [{"path_id": p, "reason": r} for p, r in classifier(t or "")], None))
                 except Exception as e:  # a failed call is a result
-                    out.append((k, None, str(e)[:200]))
+                    out.append((k, None, str(e)))
             yield out
 
     kind = dict(df.dtypes)[key]

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+#: Blocks of near titles and the columns that name them.
+BLOCKS = ["year", "author_key", "title_prefix", "token_key"]
+#: Share of the shorter title's characters (by the words they stand in) that near titles are taken to have in common.
+COMMON = 0.3
+
 
 def jaro_winkler_pair(a: str, b: str, weight: float = 0.1) -> float:
     """Jaro similarity raised by the common prefix of up to four characters."""
@@ -26,7 +31,7 @@ def jaro_winkler_pair(a: str, b: str, weight: float = 0.1) -> float:
     m = len(hits)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(hits, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
@@ -44,38 +49,83 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
+def _letters(title: Column) -> Column:
+    """How often each letter and digit of a title key occurs, as an array of counts."""
+    return F.array(*[F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+
+
+def may_reach(a: Column, b: Column, la: Column, lb: Column, least: float) -> Column:
+    """Whether two titles with letter counts ``la`` and ``lb`` can be ``least`` similar: the letters they have in
+    common bound the matches of Jaro, the common prefix the rest.  Loses no pair, and needs no Python."""
+    common = F.aggregate(F.zip_with(la, lb, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    blanks = F.least(F.length(a) - F.aggregate(la, F.lit(0), lambda s, x: s + x), F.length(b) - F.aggregate(lb, F.lit(0), lambda s, x: s + x))
+    m = common + blanks
+    jaro = (m / F.length(a) + m / F.length(b) + 1) / 3
+    prefix = F.lit(0)
+    for n in (1, 2, 3, 4):
+        prefix = prefix + F.when(F.substring(a, 1, n) == F.substring(b, 1, n), 1).otherwise(0)
+    return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-9
+
+
+def rare_words(df: DataFrame, who: str) -> DataFrame:
+    """``who, w, rare`` of the distinct words of ``title_key``.  Two titles with a share ``COMMON`` of the shorter
+    one's words in common share one that is ``rare`` in the shorter."""
+    each = df.select(F.col("id").alias(who), "side", F.explode(F.array_distinct(F.split("title_key", " "))).alias("w"))
+    each = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w")
+    of = W.partitionBy("side", who)
+    return each.select(who, "side", "w", (F.row_number().over(of.orderBy("n", "w")) <= F.count("*").over(of) - F.ceil(F.lit(COMMON) * F.count("*").over(of)) + 1).alias("rare"))
+
+
+def near_pairs(new: DataFrame, master: DataFrame, least: float) -> DataFrame:
+    """``new_id, master_id, rank, similarity`` of the pairs of at least ``least`` similar titles in one of the
+    ``BLOCKS``; ``rank`` is the first of their common blocks, from 0.
+
+    Blocks may be as large as a year, so within a block titles meet by a word that is rare in one of them.
+    Titles without a common word are not met; README says how many that loses.
+    """
+    titled = new.where("title_key <> ''").withColumn("side", F.lit(0)).unionByName(master.where("title_key <> ''").withColumn("side", F.lit(1)))
+    words = rare_words(titled, "id_")
+    blocks = F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.xxhash64(F.lit(i), F.col(c).cast("string"))) for i, c in enumerate(BLOCKS)])
+    facts = titled.select(F.col("id").alias("id_"), "side", F.col("title_key").alias("t"), blocks.alias("b"))
+    met = facts.join(words, ["id_", "side"]).select("*", F.explode("b").alias("block")).where("block is not null")
+    left = met.where("side = 0").select(F.col("id_").alias("new_id"), "w", "block", F.col("rare").alias("rare_new"), F.length("t").alias("n"))
+    right = met.where("side = 1").select(F.col("id_").alias("master_id"), "w", "block", F.col("rare").alias("rare_master"), F.length("t").alias("m"))
+    # a threshold of s allows no less than 1 - 3 (1 - s) / 0.6 of the longer title
+    ratio = 1 - (1 - least) / 0.6 * 3
+    pairs = left.join(right, ["block", "w"]).where((F.col("rare_new") | F.col("rare_master")) & (F.least("n", "m") >= ratio * F.greatest("n", "m"))).select("new_id", "master_id").distinct()
+    for side, who, t in ((0, "new_id", "t"), (1, "master_id", "m_t")):
+        pairs = pairs.join(facts.where(F.col("side") == side).select(F.col("id_").alias(who), F.col("t").alias(t), F.col("b").alias(f"{t}_b"), _letters(F.col("t")).alias(f"{t}_l")), who)
+    pairs = pairs.where(may_reach(F.col("t"), F.col("m_t"), F.col("t_l"), F.col("m_t_l"), least))
+    rank = F.coalesce(*[F.when(F.col("t_b")[i] == F.col("m_t_b")[i], F.lit(i)) for i in range(len(BLOCKS))])
+    return pairs.withColumn("similarity", jaro_winkler(F.col("t"), F.col("m_t"))).where(F.col("similarity") >= least).select("new_id", "master_id", rank.alias("rank"), "similarity")
+
+
 def match_incoming(new: DataFrame, master: DataFrame, possible: float = 0.965, probable: float = 0.985, with_doi: float = 0.90) -> DataFrame:
     """The best match of each new record: ``new_id, status, basis, master_id, similarity``.
 
-    Both sides need ``id, title_key, doi_key, author_key, title_prefix, token_key``.  Order of tiers: exact
-    title; DOI with a similar title; near title that shares author, prefix or first words; DOI whose title
-    is missing; DOI with another title.  Blocks are equi-joins on distinct keys: title and DOI matches
-    pass only their best master on, so repeated masters do not multiply, and similarity is computed
-    once a pair, for lengths that can reach the threshold.
+    Both sides need ``id, title_key, doi_key, year, author_key, title_prefix, token_key``.  Order of tiers: exact
+    title; DOI with a similar title; near title that shares year, author, prefix or first words; DOI
+    where a title is missing; DOI with another title.  Ties go to the smallest master id.  Of equal titles
+    under one key only the smallest master goes on, so repeated masters do not multiply, and similarity is
+    computed once a pair.
     """
-    by_title = master.where("title_key <> ''").groupBy("title_key").agg(F.min("id").alias("master_id"))
-    exact = new.where("title_key <> ''").join(by_title, "title_key").select(F.col("id").alias("new_id"), "master_id", F.lit(1).alias("priority"), F.lit("duplicate").alias("status"), F.lit("exact title").alias("basis"), F.lit(1.0).alias("similarity"))
-    m = master.select(F.col("id").alias("master_id"), F.col("title_key").alias("m_title"), "doi_key")
-    doi = new.where("doi_key is not null").select(F.col("id").alias("new_id"), "title_key", "doi_key").join(m.where("doi_key is not null"), "doi_key")
-    doi = doi.withColumn("similarity", jaro_winkler(F.col("title_key"), F.col("m_title")))
+    masters = master.groupBy("title_key").agg(F.min("id").alias("master_id"))
+    exact = new.where("title_key <> ''").join(masters.where("title_key <> ''"), "title_key").select(F.col("id").alias("new_id"), "master_id", F.lit(1).alias("priority"), F.lit("duplicate").alias("status"), F.lit("exact title").alias("basis"), F.lit(1.0).alias("similarity"))
+    by_doi = master.where("doi_key is not null").groupBy("doi_key", F.col("title_key").alias("m_title")).agg(F.min("id").alias("master_id"))
+    asked = new.where("doi_key is not null").select(F.col("id").alias("new_id"), "title_key", "doi_key")
+    doi = asked.select("title_key", "doi_key").distinct().join(by_doi, "doi_key").withColumn("similarity", jaro_winkler(F.col("title_key"), F.col("m_title")))
     missing = (F.col("title_key") == "") | (F.col("m_title") == "")
-    doi = doi.select(
-        "new_id", "master_id", F.when(F.col("similarity") >= with_doi, 2).when(missing, 5).otherwise(6).alias("priority"),
-        F.when(F.col("similarity") >= with_doi, "duplicate").when(missing, "probable_duplicate").otherwise("doi_conflict_review").alias("status"), F.lit("doi").alias("basis"), "similarity",
-    )
-    rest = new.where("title_key <> ''").join(exact.select(F.col("new_id").alias("id")).distinct(), "id", "left_anti")
-    keys = [("same author", "author_key"), ("title prefix", "title_prefix"), ("first words", "token_key")]
-
-    def blocked(df: DataFrame, who: str, title: str) -> DataFrame:
-        blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(b).alias("basis"), F.col(c).alias("key")) for i, (b, c) in enumerate(keys)]))
-        return df.where("title_key <> ''").select(F.col("id").alias(who), F.col("title_key").alias(title), blocks.alias("b")).select(who, title, "b.*").where("key <> ''")
-
-    left, right = blocked(rest, "new_id", "t"), blocked(master, "master_id", "m_title").drop("basis")
-    pairs = left.join(right, ["rank", "key"]).where(F.least(F.length("t"), F.length("m_title")) >= 0.82 * F.greatest(F.length("t"), F.length("m_title")))
-    pairs = pairs.groupBy("new_id", "master_id").agg(F.min(F.struct("rank", "basis", "t", "m_title")).alias("x")).select("new_id", "master_id", "x.*")
-    near = pairs.withColumn("similarity", jaro_winkler(F.col("t"), F.col("m_title"))).where(F.col("similarity") >= possible)
-    near = near.select("new_id", "master_id", F.when(F.col("similarity") >= probable, 3).otherwise(4).alias("priority"), F.when(F.col("similarity") >= probable, "probable_duplicate").otherwise("possible_duplicate").alias("status"), "basis", "similarity")
+    doi = doi.withColumn("priority", F.when(F.col("similarity") >= with_doi, 2).when(missing, 5).otherwise(6))
+    # of one DOI and title the best master is the same for all new records
+    best = doi.groupBy("doi_key", "title_key").agg(F.min(F.struct("priority", (-F.col("similarity")).alias("s"), "master_id")).alias("x")).select("doi_key", "title_key", "x.*")
+    status = F.when(F.col("priority") == 2, "duplicate").when(F.col("priority") == 5, "possible_duplicate").otherwise("doi_conflict_review")
+    doi = asked.join(best, ["doi_key", "title_key"]).select("new_id", "master_id", "priority", status.alias("status"), F.lit("doi").alias("basis"), (-F.col("s")).alias("similarity"))
+    rest = new.join(exact.select(F.col("new_id").alias("id")), "id", "left_anti")
+    # masters with one title differ in their blocks, so they stay apart here
+    near = near_pairs(rest, master, possible)
+    basis = F.element_at(F.array(*[F.lit(b) for b in ("same year", "same author", "title prefix", "first words")]), F.col("rank") + 1)
+    near = near.select("new_id", "master_id", F.when(F.col("similarity") >= probable, 3).otherwise(4).alias("priority"), F.when(F.col("similarity") >= probable, "probable_duplicate").otherwise("possible_duplicate").alias("status"), basis.alias("basis"), "similarity")
     found = exact.unionByName(doi).unionByName(near)
-    best = W.partitionBy("new_id").orderBy("priority", F.desc("similarity"), "master_id")
-    top = found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "priority")
+    order = W.partitionBy("new_id").orderBy("priority", F.desc("similarity"), "master_id")
+    top = found.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "priority")
     return new.select(F.col("id").alias("new_id")).join(top, "new_id", "left").withColumn("status", F.coalesce("status", F.lit("new")))

@@ -9,33 +9,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skerry.functions.text import collapse_unique
-from skerry.operators.spans import context, ngrams, tokens
+from skerry.operators.spans import context, tokens
 
+#: First words of names up to which they are a set that every row's tokens are tested against; with more of
+#: them every token starts a candidate.
+FIRST_WORDS = 20_000
+#: Gazetteer rows up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_NAMES = 200_000
 
-def match_places(df: DataFrame, key: str, fields: list[str], gazetteer: DataFrame, longest: int, width: int = 12) -> DataFrame:
+
+def match_places(df: DataFrame, key: str, fields: list[str], gazetteer: DataFrame, width: int = 12) -> DataFrame:
     """Mentions of gazetteer places: ``key, source, token_start, token_end, token_length, matched_text,
     context`` and the gazetteer's columns.  A place of several areas gives several rows.
 
-    Names are looked up by an equi-join of lower-case n-grams; where ``requires_case`` the spelling must
-    be the gazetteer's.  The gazetteer is broadcast only if Spark finds it small enough.
+    Names are looked up by an equi-join of lower-case n-grams, up to the longest name's number of tokens; where
+    ``requires_case`` the spelling must be the gazetteer's.  Only tokens that begin a name start n-grams, and
+    the few rows that do carry their context along, so the text itself is never shuffled.  NULL texts and
+    blank names match nothing.
     """
+    names = gazetteer.where("trim(place) <> ''").withColumn("k", F.array_join(tokens(F.lower("place")), " ")).withColumn("_size", F.size(tokens(F.col("place"))))
+    size = names.agg(F.max("_size"), F.count("*")).first()
+    first = names.select(F.split_part("k", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("source"), tokens(F.col(f)).alias("toks")) for f in fields])).alias("f")).select(key, "f.*")
-    runs = ngrams(long, [key, "source"], "toks", longest).withColumn("k", F.lower("ngram"))
-    names = gazetteer.withColumn("k", F.lower("place"))
-    hits = runs.join(names, "k").where(~F.col("requires_case") | (F.col("ngram") == F.col("place")))
-    hits = hits.join(long, [key, "source"])
+    begins = F.transform("toks", lambda t, i: F.when(F.lower(t).isin([r[0] for r in first]), i + 1)) if len(first) <= FIRST_WORDS else F.sequence(F.lit(1), F.size("toks"))
+    starts = long.where(F.size("toks") > 0).withColumn("_starts", F.filter(begins, lambda p: p.isNotNull())).where(F.size("_starts") > 0)
+    runs = starts.select(key, "source", "toks", F.explode("_starts").alias("token_start"))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(size[0] or 1), F.size("toks") - F.col("token_start") + 1))).alias("token_length"))
+    runs = runs.withColumn("ngram", F.array_join(F.slice("toks", F.col("token_start"), F.col("token_length")), " ")).withColumn("k", F.lower("ngram"))
+    small = F.broadcast(names) if size[1] <= BROADCAST_NAMES else names
+    # the context is cut out first, so a shuffled join would carry it alone
+    runs = runs.withColumn("context", context(F.col("toks"), F.col("token_start"), F.col("token_length"), width)).drop("toks")
+    hits = runs.join(small, "k").where(~F.col("requires_case") | (F.col("ngram") == F.col("place")))
     return hits.select(
-        key, "source", "token_start", (F.col("token_start") + F.col("token_length") - 1).alias("token_end"), "token_length", F.col("ngram").alias("matched_text"),
-        context(F.col("toks"), F.col("token_start"), F.col("token_length"), width).alias("context"), *[c for c in names.columns if c != "k"],
+        key, "source", "token_start", (F.col("token_start") + F.col("token_length") - 1).alias("token_end"), "token_length", F.col("ngram").alias("matched_text"), "context", *gazetteer.columns,
     )
 
 
 def outermost(mentions: DataFrame, key: str) -> DataFrame:
-    """Mentions that no strictly longer one of the same field contains."""
-    spans = mentions.select(key, "source", "token_start", "token_end", "token_length").distinct()
-    o = spans.select(F.col(key).alias("k"), F.col("source").alias("s"), F.col("token_start").alias("a"), F.col("token_end").alias("b"), F.col("token_length").alias("n"))
-    inside = (F.col(key) == F.col("k")) & (F.col("source") == F.col("s")) & (F.col("token_start") >= F.col("a")) & (F.col("token_end") <= F.col("b")) & (F.col("token_length") < F.col("n"))
-    return mentions.join(o, inside, "left_anti")
+    """Mentions that no strictly longer one of the same field contains: the mentions of a field meet once, and a
+    name's place in them is settled in the array."""
+    rest = [c for c in mentions.columns if c not in (key, "source")]
+    held = mentions.groupBy(key, "source").agg(F.collect_list(F.struct(*rest)).alias("m"))
+    longer = lambda o, s: (o["token_start"] <= s["token_start"]) & (o["token_end"] >= s["token_end"]) & (o["token_length"] > s["token_length"])
+    return held.select(key, "source", F.inline(F.filter("m", lambda s: ~F.exists("m", lambda o: longer(o, s))))).select(mentions.columns)
 
 
 def best_priority(mentions: DataFrame, key: str) -> DataFrame:

@@ -28,8 +28,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[str | Column], n:
 
 
 def keep_max_in_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with the largest value of their group, ties included."""
-    return df.withColumn("_m", F.max(value).over(W.partitionBy(*keys))).where(F.col(value) == F.col("_m")).drop("_m")
+    """Rows with the largest value of their group, ties included: the maxima are joined back, so no group is held
+    in one task.  NULL keys and values give no rows."""
+    top = df.groupBy(*keys).agg(F.max(value).alias(value))
+    return df.join(top, [*keys, value], "left_semi").select(df.columns)
 
 
 def add_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -66,12 +68,13 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
     return top_per_group(df, [stratum], [hash_order(key, seed), key], n)
 
 
-def batch_numbers(df: DataFrame, key: str, size: int, buckets: int = 256) -> DataFrame:
+def batch_numbers(df: DataFrame, key: str, size: int, range_rows: int = 1_000_000) -> DataFrame:
     """``batch`` from 1 in the order of an integer key, ``size`` rows each.
 
-    Numbers run within ranges of the key, offset by the ranges before them, so the order is
-    global without one task that sorts everything."""
-    spread = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    Numbers run within ranges of the key, of about ``range_rows`` rows each, offset by the ranges before them, so
+    the order is global without one task that sorts everything."""
+    spread = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
+    buckets = max(256, -(-spread["n"] // range_rows))
     if spread is None or spread["lo"] is None:
         return df.withColumn("batch", F.lit(None).cast("bigint"))
     width = max(1, -(-(spread["hi"] - spread["lo"] + 1) // buckets))

@@ -5,7 +5,6 @@ shuffles nothing; dictionaries are small literals."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -29,17 +28,17 @@ def dictionary(rows: list[dict]) -> Column:
 def with_spans(df: DataFrame, text: Column, terms: Column, out: str, policy: str = "none") -> DataFrame:
     """``df`` with ``out``: the occurrences of dictionary terms in ``text`` that a policy keeps.
 
-    Terms are found whatever the case between characters that are not ASCII letters or digits; a
+    Terms are found whatever the case between characters that are not ASCII letters, digits or "_"; a
     term's own occurrences do not overlap.  Each is ``start, end`` (from 1, inclusive, in code
     points), ``matched`` and the ``entry``, in the order (start, longer first, entry).
 
     Policies: ``containment`` - spans inside a strictly longer one are dropped; ``none``.  The greedy
-    rules are in ``greedy_spans``.
+    rules are in ``term_spans``.
 
     The steps are columns of their own, so that nothing is computed once per use.
     """
     t = F.coalesce(text, F.lit(""))
-    pattern = lambda e: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), regex_escape(e["term"]), F.lit("(?![A-Za-z0-9])"))
+    pattern = lambda e: F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), regex_escape(e["term"]), F.lit("(?![A-Za-z0-9_])"))
     df = df.withColumn("_present", F.filter(terms, lambda e: F.contains(F.lower(t), F.lower(e["term"]))))
     df = df.withColumn("_hits", F.transform("_present", lambda e: F.struct(e.alias("entry"), F.transform(F.split(t, pattern(e), -1), lambda p: F.char_length(p)).alias("gaps"))))
     n = lambda h: F.char_length(h["entry"]["term"])
@@ -79,14 +78,64 @@ def _resolved(df: DataFrame, out: str, policy: str) -> DataFrame:
     raise ValueError(policy)
 
 
-def greedy_spans(df: DataFrame, key: str, fields: list[str], terms: list[str], keep_ties: bool = False) -> DataFrame:
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def lowered(text: str) -> str:
+    """Lower case of the same length: letters whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+class TermFinder:
+    """Occurrences of many terms in one pass over a text, by one automaton."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms = terms
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}
+
+    def __call__(self, text: str) -> list[tuple[int, int, int]]:
+        """``start, -end, term`` (its place in the list), sorted; a term's own occurrences do not overlap."""
+        if self._automaton is None:
+            import ahocorasick
+
+            by_form: dict[str, list[int]] = {}
+            for i, t in enumerate(self.terms):
+                by_form.setdefault(lowered(t), []).append(i)
+            self._automaton = ahocorasick.Automaton()
+            for form, places in by_form.items():
+                if form:
+                    self._automaton.add_word(form, (len(form), places))
+            self._automaton.make_automaton()
+        if not len(self._automaton):
+            return []
+        out, last = [], {}
+        for end, (n, places) in self._automaton.iter(lowered(text)):
+            start, end = end - n + 1, end + 1
+            if (start and text[start - 1] in _WORD) or (end < len(text) and text[end] in _WORD):
+                continue
+            for i in places:
+                if start >= last.get(i, 0):
+                    last[i] = end
+                    out.append((start, -end, i))
+        return sorted(out)
+
+
+def term_spans(df: DataFrame, key: str, fields: list[str], terms: list[str], policy: str = "greedy") -> DataFrame:
     """``key, spans``: occurrences of the terms in the fields (``source, term`` (its place in ``terms``),
-    ``start, end, matched``) after the greedy rule: in the order (start, longer first, term) each span
-    still kept drops the others that overlap it and are not longer (``keep_ties``: are shorter).
+    ``start, end, matched``), as a policy keeps them.
 
-    The rule is a fold over the few spans of one text, done in Arrow batches; nothing is shuffled.
+    ``all`` keeps every one.  ``greedy``: in the order (start, longer first, term) each span still kept drops the
+    others that overlap it and are not longer (``greedy_ties``: are shorter).  Terms are found whatever the case
+    between characters that are not ASCII letters, digits or "_".  NULL and empty texts have no spans.
+
+    One automaton finds all terms; the rule is a fold over the few spans of one text.  Both run in Arrow
+    batches, nothing is shuffled.
     """
-    patterns = [(i, re.compile(rf"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])", re.I), t.lower()) for i, t in enumerate(terms)]
+    finder = TermFinder(terms)
 
     def find(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for k, *texts in batches:
@@ -96,10 +145,9 @@ def greedy_spans(df: DataFrame, key: str, fields: list[str], terms: list[str], k
                 for source, text in zip(fields, row[1:], strict=True):
                     if not text:
                         continue
-                    low = text.lower()
-                    found = sorted((m.start(), -m.end(), i, m.group()) for i, p, t in patterns if t in low for m in p.finditer(text))
-                    kept = greedy_keep([f[0] for f in found], [-f[1] for f in found], keep_ties)
-                    spans += [{"source": source, "term": found[j][2], "start": found[j][0] + 1, "end": -found[j][1], "matched": found[j][3]} for j in kept]
+                    found = finder(text)
+                    kept = range(len(found)) if policy == "all" else greedy_keep([f[0] for f in found], [-f[1] for f in found], policy == "greedy_ties")
+                    spans += [{"source": source, "term": found[j][2], "start": found[j][0] + 1, "end": -found[j][1], "matched": text[found[j][0] : -found[j][1]]} for j in kept]
                 out.append((row[0], spans))
             yield out
 
@@ -111,13 +159,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def ngrams(df: DataFrame, keys: list[str], toks: str, longest: int) -> DataFrame:
-    """``keys, token_start, token_length, ngram``: every run of up to ``longest`` tokens."""
-    one = df.select(*keys, toks, F.posexplode(toks).alias("p", "_t")).select(*keys, toks, (F.col("p") + 1).alias("token_start"))
-    many = one.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(toks) - F.col("token_start") + 1))).alias("token_length"))
-    return many.select(*keys, "token_start", "token_length", F.array_join(F.slice(toks, F.col("token_start"), F.col("token_length")), " ").alias("ngram"))
-
-
 def context(toks: Column, start: Column, length: Column, width: int) -> Column:
     """The tokens around a match, ``width`` on each side."""
     first = F.greatest(F.lit(1), start - width)

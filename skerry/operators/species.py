@@ -2,32 +2,97 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.operators.spans import dictionary, greedy_spans
+from skerry.functions.text import not_in_set
+from skerry.operators.relational import require_columns
+from skerry.operators.spans import dictionary, term_spans
 
 # Species, their names and whether they are farmed.
 SPECIES = """
-SAL_SALAR | Atlantic salmon | Salmo salar | true | Atlantic salmon, Salmo salar, S. salar
-ONC_MYKISS | Rainbow trout | Oncorhynchus mykiss | true | Rainbow trout, Oncorhynchus mykiss, O. mykiss, Steelhead, Steelhead trout
-ONC_TSHAWYTSCHA | Chinook salmon | Oncorhynchus tshawytscha | true | Chinook salmon, Chinook, Oncorhynchus tshawytscha
-ONC_KISUTCH | Coho salmon | Oncorhynchus kisutch | true | Coho salmon, Coho, Oncorhynchus kisutch
-UNSPEC_SALMON | Unspecified farmed salmon | | true | Salmon, Salmon farm, Salmon farms, Farmed salmon, Salmon aquaculture, Salmon cage, Salmon cages, Salmon pen, Salmon pens
-SAL_TRUTTA | Brown trout | Salmo trutta | false | Brown trout, Salmo trutta, Sea trout
-SALVELINUS_ALPINUS | Arctic char | Salvelinus alpinus | false | Arctic char, Salvelinus alpinus
-LEP_SALMONIS | Sea louse | Lepeophtheirus salmonis | false | Sea louse, Lepeophtheirus salmonis
+species_id,preferred_name,scientific_name,synonym,synonym_type,is_farmed_candidate,default_group
+SAL_SALAR,Atlantic salmon,Salmo salar,Atlantic salmon,common,TRUE,salmon
+SAL_SALAR,Atlantic salmon,Salmo salar,Salmo salar,scientific,TRUE,salmon
+SAL_SALAR,Atlantic salmon,Salmo salar,S. salar,abbreviation,TRUE,salmon
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Rainbow trout,common,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Oncorhynchus mykiss,scientific,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,O. mykiss,abbreviation,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Steelhead,common,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Steelhead trout,common,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Salmo gairdneri,scientific,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Salmo gardineri,scientific,TRUE,trout
+ONC_MYKISS,Rainbow trout,Oncorhynchus mykiss,Salmo gairdnerii,scientific,TRUE,trout
+ONC_TSHAWYTSCHA,Chinook salmon,Oncorhynchus tshawytscha,Chinook salmon,common,TRUE,salmon
+ONC_TSHAWYTSCHA,Chinook salmon,Oncorhynchus tshawytscha,Oncorhynchus tshawytscha,scientific,TRUE,salmon
+ONC_KISUTCH,Coho salmon,Oncorhynchus kisutch,Coho salmon,common,TRUE,salmon
+ONC_KISUTCH,Coho salmon,Oncorhynchus kisutch,Oncorhynchus kisutch,scientific,TRUE,salmon
+ONC_NERKA,Sockeye salmon,Oncorhynchus nerka,Sockeye salmon,common,TRUE,salmon
+ONC_NERKA,Sockeye salmon,Oncorhynchus nerka,Oncorhynchus nerka,scientific,TRUE,salmon
+ONC_KETA,Chum salmon,Oncorhynchus keta,Chum salmon,common,TRUE,salmon
+ONC_KETA,Chum salmon,Oncorhynchus keta,Oncorhynchus keta,scientific,TRUE,salmon
+ONC_GORBUSCHA,Pink salmon,Oncorhynchus gorbuscha,Pink salmon,common,TRUE,salmon
+ONC_GORBUSCHA,Pink salmon,Oncorhynchus gorbuscha,Oncorhynchus gorbuscha,scientific,TRUE,salmon
+ONC_MASOU,Masu salmon,Oncorhynchus masou,Masu salmon,common,TRUE,salmon
+ONC_MASOU,Masu salmon,Oncorhynchus masou,Oncorhynchus masou,scientific,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon farm,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon farms,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Farmed salmon,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon aquaculture,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon cage,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon cages,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon pen,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmon pens,generic,TRUE,salmon
+SAL_TRUTTA,Brown trout,Salmo trutta,Brown trout,common,FALSE,trout
+SAL_TRUTTA,Brown trout,Salmo trutta,Salmo trutta,scientific,FALSE,trout
+SALVELINUS_ALPINUS,Arctic char,Salvelinus alpinus,Arctic char,common,FALSE,char
+SALVELINUS_ALPINUS,Arctic char,Salvelinus alpinus,Salvelinus alpinus,scientific,FALSE,char
+LEP_SALMONIS,Sea louse,Lepeophtheirus salmonis,Lepeophtheirus salmonis,scientific,FALSE,parasite
+LEP_SALMONIS,Sea louse,Lepeophtheirus salmonis,Sea louse,common,FALSE,parasite
+CAL_ELONGATUS,Sea louse,Caligus elongatus,Caligus elongatus,scientific,FALSE,parasite
+GYR_SALARIS,Gyrodactylus salaris,Gyrodactylus salaris,Gyrodactylus salaris,scientific,FALSE,parasite
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmonid aquaculture,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmonid farm,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmonid farms,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Farmed salmonids,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Cultured salmonids,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Salmonid industry,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Caged salmonids,generic,TRUE,salmon
+UNSPEC_SALMON,Unspecified farmed salmon,,Sea pen cultured salmonids,generic,TRUE,salmon
 """
+# What a dictionary may say about a synonym and about farming.
+SYNONYM_TYPES = ["common", "scientific", "abbreviation", "generic"]
+FLAGS = ["TRUE", "FALSE"]
 # Generic phrases that are never read as the wild species nearby.
 FARMING_PHRASES = ["salmon farm", "salmon farms", "farmed salmon", "salmon aquaculture", "salmon cage", "salmon cages", "salmon pen", "salmon pens"]
 
 
-def species_rows() -> list[dict]:
-    out = []
-    for line in SPECIES.strip().splitlines():
-        sid, name, scientific, farmed, terms = (x.strip() for x in line.split("|"))
-        out += [{"term": t.strip(), "species_id": sid, "preferred_name": name, "scientific_name": scientific, "farmed": farmed == "true"} for t in terms.split(",")]
-    return out
+def species_rows(text: str = SPECIES) -> list[dict]:
+    """The dictionary's rows, in order; empty fields are ""."""
+    rows = csv.DictReader(io.StringIO(text.strip()))
+    return [{"term": r["synonym"], "species_id": r["species_id"], "preferred_name": r["preferred_name"], "scientific_name": r["scientific_name"], "farmed": r["is_farmed_candidate"] == "TRUE"} for r in rows]
+
+
+def dictionary_violations(rows: DataFrame) -> DataFrame:
+    """``rule, value``: what is wrong with a species dictionary (all columns STRING), nothing if it may be used.
+
+    Rules: no blank id, name or synonym, known flags and synonym types, no row twice, a synonym of one species
+    only, one preferred and one scientific name a species.  Missing columns are an error at once."""
+    needed = ["species_id", "preferred_name", "scientific_name", "synonym", "synonym_type", "is_farmed_candidate", "default_group"]
+    require_columns(rows, needed)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    found = [rows.where(blank(F.col(c))).select(F.lit(f"blank {c}").alias("rule"), F.col("species_id").alias("value")) for c in ("species_id", "preferred_name", "synonym")]
+    for column, allowed in (("is_farmed_candidate", FLAGS), ("synonym_type", SYNONYM_TYPES)):
+        found.append(rows.where(not_in_set(F.col(column), allowed)).select(F.lit(f"invalid {column}").alias("rule"), F.col(column).alias("value")))
+    found.append(rows.groupBy(*rows.columns).count().where("count > 1").select(F.lit("repeated row").alias("rule"), F.col("synonym").alias("value")))
+    for group, counted, rule in (("synonym", "species_id", "synonym of several species"), ("species_id", "preferred_name", "several preferred names"), ("species_id", "scientific_name", "several scientific names")):
+        found.append(rows.groupBy(group).agg(F.count_distinct(counted).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.col(group).alias("value")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def detect_species(df: DataFrame, key: str, rows: list[dict] | None = None, near: int = 120) -> DataFrame:
@@ -42,7 +107,7 @@ def detect_species(df: DataFrame, key: str, rows: list[dict] | None = None, near
         names = [e[k].alias(k) for k in ("species_id", "preferred_name", "scientific_name", "farmed")]
         return F.struct(*names, s["matched"].alias("matched_term"), s["source"].alias("source"), s["start"].alias("match_start"), s["end"].alias("match_end"))
 
-    df = greedy_spans(df, key, ["title", "abstract"], [r["term"] for r in rows])
+    df = term_spans(df, key, ["title", "abstract"], [r["term"] for r in rows])
     found = F.transform("spans", mention)
     df = df.select(key, found.alias("found"))
     middle = lambda m: (m["match_start"] + m["match_end"]) / 2

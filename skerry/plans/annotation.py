@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.operators import places as P
 from skerry.operators.spans import dictionary, with_spans
 from skerry.operators.species import assign_species, detect_species, species_rows
+from skerry.operators.topics import assign_topics, detect_topics, topic_rows
 from skerry.sources.tables import table
 
 # A small gazetteer of rearing sites with nested, shared and case-bound names.
@@ -50,14 +51,16 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.match_places(_records(spark, sf_dir), "record_sequence", ["title", "abstract"], gazetteer(spark), 3)
+    return P.match_places(_records(spark, sf_dir), "record_sequence", ["title", "abstract"], gazetteer(spark))
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each dictionary term stands in each title, overlaps included."""
-    found = with_spans(_records(spark, sf_dir).select("record_sequence", "title"), F.col("title"), dictionary(species_rows()), "spans")
-    rows = found.select("record_sequence", F.explode("spans").alias("s"))
-    return rows.groupBy("record_sequence", F.lower("s.entry.term").alias("term")).agg(F.count("*").alias("n"))
+    """How often each dictionary term stands in each title and abstract, overlaps included."""
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("text")) for c in ("title", "abstract")]))
+    long = _records(spark, sf_dir).select("record_sequence", fields.alias("f")).select("record_sequence", "f.*")
+    found = with_spans(long, F.col("text"), dictionary(species_rows()), "spans")
+    rows = found.select("record_sequence", "source", F.explode("spans").alias("s"))
+    return rows.groupBy("record_sequence", "source", F.lower("s.entry.term").alias("term")).agg(F.count("*").alias("n"))
 
 
 def species_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,22 @@ def species_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_species(detect_species(_records(spark, sf_dir), "record_sequence"), "record_sequence")
 
 
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topic_rows(table(spark, sf_dir, "ontology_v4", "path_id", "hierarchy_path", "alternative_standalone_cues"))
+    return detect_topics(_records(spark, sf_dir), "record_sequence", ["title", "abstract"], rows)
+
+
+def topic_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the terms of each ontology path stand in each title and abstract, overlaps included."""
+    per = _topics(spark, sf_dir).select("record_sequence", F.inline("mentions"))
+    return per.groupBy("record_sequence", "source", "path_id", F.lower("matched_term").alias("term")).agg(F.count("*").alias("n"), F.min("match_start").alias("first_start"))
+
+
+def record_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics of every record; one without any is sent to review."""
+    return assign_topics(_topics(spark, sf_dir), "record_sequence")
+
+
 def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir)
 
@@ -109,15 +128,29 @@ _MENTIONS = f"""
         from r join g on lower(ngram) = lower(place) where not requires_case or ngram = place),
     o as (select * from m where not exists (select 1 from m x where x.record_sequence = m.record_sequence and x.source = m.source and x.token_start <= m.token_start and x.token_end >= m.token_end and x.token_length > m.token_length)),
     b as (select * from o qualify rank() over (partition by record_sequence, source, token_start, token_end order by priority desc) = 1)"""
+_TOPICS = r"""
+    l as (select path_id, list_transform(string_split(hierarchy_path, '>'), lambda x: trim(x)) as p, string_split(coalesce(alternative_standalone_cues, ''), ';') as cues from ontology_v4),
+    d as (select distinct path_id, p[1] as broad_topic, p[2] as subtopic, p[3] as feature, p[4] as component, lower(trim(unnest(list_concat([p[4]], cues)))) as term from l),
+    t as (select record_sequence, unnest(['title', 'abstract']) as source, unnest([title, abstract]) as text from clean_records),
+    h as (select *, '(?i)\b' || regexp_escape(term) || '\b' as rx from t, d where term not in ('', 'general') and contains(lower(text), term))"""
 _RX = lambda p: p.replace("'", "''")
 _SCORE = " + ".join(f"case when regexp_matches(context, '{_RX(p)}') then {s} else 0.0 end" for _, p, s in RULES)
 
-QUERIES = {f.__name__: f for f in (term_counts, species_mentions, species_assignments, place_mentions, place_outermost, place_summary, area_scores, primary_areas)}
+QUERIES = {f.__name__: f for f in (term_counts, species_mentions, species_assignments, topic_mentions, record_topics, place_mentions, place_outermost, place_summary, area_scores, primary_areas)}
 ORACLE = {
     "term_counts": f"""
         with d(term) as (values {', '.join(f"('{t}')" for t in _TERMS)}),
-            c as (select record_sequence, term, len(regexp_extract_all(title, '(?i)(?:\\b)' || replace(term, '.', '\\.') || '(?:\\b)')) as n from clean_records, d where contains(lower(title), term))
-        select record_sequence, term, n from c where n > 0""",
+            t as (select record_sequence, unnest(['title', 'abstract']) as source, unnest([title, abstract]) as text from clean_records),
+            c as (select record_sequence, source, term, len(regexp_extract_all(text, '(?i)(?:\\b)' || replace(term, '.', '\\.') || '(?:\\b)')) as n from t, d where contains(lower(text), term))
+        select record_sequence, source, term, n from c where n > 0""",
+    "topic_mentions": f"""
+        with {_TOPICS} select record_sequence, source, path_id, term, cast(len(regexp_extract_all(text, rx)) as bigint) as n,
+            cast(length(regexp_extract(text, '(?is)^(.*?)' || rx, 1)) + 1 as int) as first_start from h where regexp_matches(text, rx)""",
+    "record_topics": f"""
+        with {_TOPICS}, f as (select distinct record_sequence, broad_topic, subtopic, feature, component from h where regexp_matches(text, rx))
+        select record_sequence, broad_topic, subtopic, feature, component, f.broad_topic is null as review_required,
+            case when f.broad_topic is null then 'No topic dictionary terms detected' else 'One or more topic dictionary terms detected' end as assignment_reason
+        from clean_records left join f using (record_sequence)""",
     "place_mentions": f"with {_MENTIONS} select * from m",
     "place_outermost": f"with {_MENTIONS} select record_sequence, source, token_start, token_end, place, area, priority from b",
     "place_summary": f"""

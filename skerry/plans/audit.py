@@ -75,8 +75,8 @@ def second_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_kind", "n_chars")
-    return d.groupBy("doc_kind").agg(F.percentile("n_chars", F.lit(0.25)).alias("q25"), F.median("n_chars").alias("q50"), F.percentile("n_chars", F.lit(0.99)).alias("q99"))
+    d = table(spark, sf_dir, "documents", "doc_kind", "n_chars").groupBy("doc_kind", "n_chars").agg(F.count("*").alias("k"))
+    return d.groupBy("doc_kind").agg(*[F.percentile("n_chars", F.lit(q), F.col("k")).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.99, "q99"))])
 
 
 def kind_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def kind_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by 60 equal classes of length up to the 99th percentile."""
     d = table(spark, sf_dir, "documents", "n_chars")
-    top = d.agg(F.percentile("n_chars", F.lit(0.99)).alias("top"))
+    top = d.groupBy("n_chars").agg(F.count("*").alias("k")).agg(F.percentile("n_chars", F.lit(0.99), F.col("k")).alias("top"))
     return d.join(F.broadcast(top)).where("n_chars <= top").groupBy(F.least(F.floor(60 * F.col("n_chars") / F.col("top")), F.lit(59)).alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions import text as X
 from skerry.operators.classify import classify_records, flatten_responses, keyword_classifier
 from skerry.operators.screening import decide, document_frequency, fit_screening, terms, validation_split
+from skerry.plans.multivalue import MAX_KNOWN_PATHS
 from skerry.sources.tables import materialize, shared_path, table
 from skerry.streaming.incremental import run_available
 
@@ -32,7 +33,9 @@ def screening_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    rows = table(spark, sf_dir, "ontology_v4", "path_id", "required_focus_terms", "required_subject_terms").limit(20_000).collect()
+    rows = table(spark, sf_dir, "ontology_v4", "path_id", "required_focus_terms", "required_subject_terms").limit(MAX_KNOWN_PATHS + 1).collect()
+    if len(rows) > MAX_KNOWN_PATHS:
+        raise ValueError(f"the ontology has more than {MAX_KNOWN_PATHS} paths")
     return {r[0]: [c.strip() for f in r[1:] if f for c in f.split(";") if c.strip()] for r in rows}
 
 
@@ -60,4 +63,10 @@ QUERIES = {f.__name__: f for f in (term_frequencies, screening_model, classified
 
 from skerry.plans.cleaning import _TITLE_KEY  # noqa: E402
 
-ORACLE = {"incremental_records": f"select record_sequence, batch_no, {_TITLE_KEY} as title_key from clean_records"}
+ORACLE = {
+    "classified_paths": """
+        with o as (select path_id, hierarchy_path, list_filter(list_transform(string_split(concat_ws(';', nullif(required_focus_terms, ''), nullif(required_subject_terms, '')), ';'), lambda x: trim(x)), lambda x: x <> '') as cues from ontology_v4),
+            h as (select record_sequence, path_id, hierarchy_path, list_filter(cues, lambda c: contains(lower(concat_ws(' ', title, abstract)), lower(c))) as hit from clean_records, o)
+        select record_sequence, path_id, hierarchy_path, cast(row_number() over (partition by record_sequence order by len(hit) desc, path_id) as int) as pos, array_to_string(hit, '; ') as reason, true as known from h where len(hit) > 0""",
+    "incremental_records": f"select record_sequence, batch_no, {_TITLE_KEY} as title_key from clean_records",
+}

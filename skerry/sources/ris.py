@@ -14,7 +14,7 @@ TAGS = {"TY": "type", "ID": "record_id", "ST": "short_title", "AB": "abstract_ra
 def _tag(fields: Column, tag: str) -> Column:
     """Values of a tag joined by " | "; continuation lines belong to the line before."""
     own = F.filter(fields, lambda f: F.startswith(f, F.lit(f"{tag}  -")))
-    values = F.transform(own, lambda f: squish(F.regexp_replace(F.substring(f, 6, 2_000_000), r"\r?\n", " ")))
+    values = F.transform(own, lambda f: squish(F.regexp_replace(F.substr(f, F.lit(6)), r"\r?\n", " ")))
     return empty_to_null(F.array_join(F.filter(values, lambda v: v != ""), " | "))
 
 

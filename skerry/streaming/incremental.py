@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.operators.relational import distinct_keep_first
+
 
 def _state(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -16,19 +18,19 @@ def _state(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def run_available(stream: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], state: str, checkpoint: str, retry_failed: bool = False) -> DataFrame:
+def run_available(stream: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], state: str, checkpoint: str, retry_failed: bool = False, order: list[str] | None = None) -> DataFrame:
     """Process what a stream has now and return the state table.
 
     Each micro-batch drops keys already in the state (with ``retry_failed`` those whose ``failed`` is
-    TRUE are taken again), processes the first row of each key and appends the results with the
-    batch's number.  A batch that is run again after a failure first leaves out what its earlier
+    TRUE are taken again), processes the first row of each key (by ``order``, else by all columns) and appends the
+    results with the batch's number.  The state has the latest result of each key.  A batch that is run again after a failure first leaves out what its earlier
     attempt wrote, so every key is written once.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         done = _state(batch.sparkSession, state)
-        todo = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        todo = distinct_keep_first(batch.where(F.col(key).isNotNull()), [key], order or sorted(c for c, t in batch.dtypes if not t.startswith("map")))
         if done is not None:
             settled = done.where(~F.coalesce(F.col("failed"), F.lit(False))) if retry_failed and "failed" in done.columns else done
             todo = todo.join(settled.select(key).distinct(), key, "left_anti")
@@ -36,4 +38,5 @@ def run_available(stream: DataFrame, key: str, process: Callable[[DataFrame], Da
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state)
+    out = spark.read.parquet(state)
+    return distinct_keep_first(out, [key], [F.desc("run_no")]) if retry_failed else out
