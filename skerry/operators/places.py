@@ -27,19 +27,19 @@ def match_places(df: DataFrame, key: str, fields: list[str], gazetteer: DataFram
     the few rows that do carry their context along, so the text itself is never shuffled.  NULL texts and
     blank names match nothing.
     """
-    names = gazetteer.where("trim(place) <> ''").withColumn("k", F.array_join(tokens(F.lower("place")), " ")).withColumn("_size", F.size(tokens(F.col("place"))))
+    names = gazetteer.where("trim(place) <> ''").withColumn("_ngram", F.array_join(tokens(F.lower("place")), " ")).withColumn("_size", F.size(tokens(F.col("place"))))
     size = names.agg(F.max("_size"), F.count("*")).first()
-    first = names.select(F.split_part("k", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
+    first = names.select(F.split_part("_ngram", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("source"), tokens(F.col(f)).alias("toks")) for f in fields])).alias("f")).select(key, "f.*")
     begins = F.transform("toks", lambda t, i: F.when(F.lower(t).isin([r[0] for r in first]), i + 1)) if len(first) <= FIRST_WORDS else F.sequence(F.lit(1), F.size("toks"))
     starts = long.where(F.size("toks") > 0).withColumn("_starts", F.filter(begins, lambda p: p.isNotNull())).where(F.size("_starts") > 0)
     runs = starts.select(key, "source", "toks", F.explode("_starts").alias("token_start"))
     runs = runs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(size[0] or 1), F.size("toks") - F.col("token_start") + 1))).alias("token_length"))
-    runs = runs.withColumn("ngram", F.array_join(F.slice("toks", F.col("token_start"), F.col("token_length")), " ")).withColumn("k", F.lower("ngram"))
+    runs = runs.withColumn("ngram", F.array_join(F.slice("toks", F.col("token_start"), F.col("token_length")), " ")).withColumn("_ngram", F.lower("ngram"))
     small = F.broadcast(names) if size[1] <= BROADCAST_NAMES else names
     # the context is cut out first, so a shuffled join would carry it alone
     runs = runs.withColumn("context", context(F.col("toks"), F.col("token_start"), F.col("token_length"), width)).drop("toks")
-    hits = runs.join(small, "k").where(~F.col("requires_case") | (F.col("ngram") == F.col("place")))
+    hits = runs.join(small, "_ngram").where(~F.col("requires_case") | (F.col("ngram") == F.col("place")))
     return hits.select(
         key, "source", "token_start", (F.col("token_start") + F.col("token_length") - 1).alias("token_end"), "token_length", F.col("ngram").alias("matched_text"), "context", *gazetteer.columns,
     )

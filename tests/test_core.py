@@ -61,12 +61,13 @@ def test_thresholds(spark):
 
 def test_incoming(spark):
     assert round(jaro_winkler_pair("martha", "marhta"), 4) == 0.9611 and jaro_winkler_pair("", "a") == 0
-    schema = "id int, title_key string, doi_key string, author_key string, title_prefix string, token_key string"
+    schema = "id int, title_key string, doi_key string, year int, author_key string, title_prefix string, token_key string"
     long = "growth of atlantic salmon smolts in closed sea pens"
-    master = spark.createDataFrame([(1, long, "d1", "berg", long[:24], "x"), (2, "other title altogether", "d2", "holm", "o", "y"), (3, "", "d3", "", "", "")], schema)
-    new = [(10, long, None, "z", "", ""), (11, long + "s", "d1", "z", "", ""), (12, "quite unlike", "d2", "q", "", ""), (13, "named", "d3", "", "", ""), (14, "growth of atlantic salmon smolts in closed sea penz", None, "berg", "", ""), (15, "unmatched", None, "nn", "", "")]
+    master = spark.createDataFrame([(1, long, "d1", 2001, "berg", long[:24], "x"), (2, "other title altogether", "d2", 2002, "holm", "o", "y"), (3, "", "d3", None, "", "", "")], schema)
+    new = [(10, long, None, None, "z", "", ""), (11, long + "s", "d1", None, "z", "", ""), (12, "quite unlike", "d2", None, "q", "", ""), (13, "named", "d3", None, "", "", ""), (14, "growth of atlantic salmon smolts in closed sea penz", None, None, "berg", "", ""), (15, "unmatched", None, None, "nn", "", "")]
+    new.append((16, "growth of atlantic salmon smolts in clossed see pans", None, 2001, "other", "", ""))  # of the same year only
     got = {r.new_id: (r.status, r.master_id) for r in match_incoming(spark.createDataFrame(new, schema), master).collect()}
-    assert got == {10: ("duplicate", 1), 11: ("duplicate", 1), 12: ("doi_conflict_review", 2), 13: ("probable_duplicate", 3), 14: ("probable_duplicate", 1), 15: ("new", None)}
+    assert got == {10: ("duplicate", 1), 11: ("duplicate", 1), 12: ("doi_conflict_review", 2), 13: ("possible_duplicate", 3), 14: ("probable_duplicate", 1), 15: ("new", None), 16: ("possible_duplicate", 1)}
 
 
 def test_classifier_errors_are_rows(spark):
