@@ -16,8 +16,8 @@ Records that are copies (problem 4), and records that agree in all but the DOI,
 to its first record, never to each other.  Two other records are compared if they share a key, have the same
 series marks and enough title words in common; what the rule for a publication demands is asked before texts are
 read.  A segment that more than ``hot`` records hold (boilerplate) is looked up together with a word of the title
-that is rare in one of the two, and where more than ``hot`` records share that as well together with a form of an
-author's name.  Neither loses a pair that the rule would accept, so the result does not depend on ``hot``.
+that is rare in one of the two, and where more than ``CROWDED`` times as many share that as well together with a
+form of an author's name.  Neither loses a pair that the rule would accept, so the result does not depend on ``hot``.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from skerry.sources.tables import materialize, release, shared_path
 
 #: Sentences with fewer words are looked up only in records that have no longer ones.
 SHORT = 5
+#: Times ``hot`` that records may share a hot key and a title word before names are asked for as well.
+CROWDED = 10
 #: Rows a side may have to be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -230,7 +232,7 @@ class History:
     ``History`` of the same folder goes on where the last one stopped.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, edits: int = 1, hot: int = 50, capacity: int = 20_000) -> None:
         self.spark, self.edits, self.hot, self.capacity = spark, edits, hot, capacity
         self.path = path or shared_path(spark, "history")
 
@@ -352,7 +354,7 @@ class History:
         ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p"}), "p")
         have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r"}), "r")
         rare = F.col("rare_p") | F.col("rare_r")
-        crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select(*on), "crowded-words")
+        crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * self.hot).select(*on), "crowded-words")
         if crowded.isEmpty():
             return have.join(ask, on).where(rare).select("p", "r", "old")
         crowd = _few(crowded)
@@ -402,7 +404,7 @@ class History:
         return out.select("record_sequence", "batch_no", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("first_batch", "batch_no").alias("first_batch"))
 
 
-def publications(df: DataFrame, path: str | None = None, edits: int = 1, hot: int = 500, capacity: int = 20_000) -> DataFrame:
+def publications(df: DataFrame, path: str | None = None, edits: int = 1, hot: int = 50, capacity: int = 20_000) -> DataFrame:
     """``record_sequence, batch_no, first_sequence, first_batch`` of every record with title and batch:
     the smallest record and the earliest batch of its publication.
 

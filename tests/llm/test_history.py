@@ -155,7 +155,10 @@ def test_sessions_continue_one_history(spark, tmp_path):
 
 
 @pytest.mark.parametrize("hot", [1, 10_000])
-def test_result_does_not_depend_on_what_counts_as_hot(spark, hot):
+def test_result_does_not_depend_on_what_counts_as_hot(spark, hot, monkeypatch):
+    from skerry.llm import history
+
+    monkeypatch.setattr(history, "CROWDED", 1)
     note = "No abstract was supplied by the publisher of this record at all."
     stock = [f"In this study we looked at salmon of many kinds {i}." for i in range(2)]
     rng = random.Random(17)
