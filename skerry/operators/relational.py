@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skerry.sources.tables import materialize
+
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
     """Raise if a column is missing; looks at the schema only."""
@@ -85,6 +87,49 @@ def batch_numbers(df: DataFrame, key: str, size: int, range_rows: int = 1_000_00
     return ranged.join(F.broadcast(sizes), "_b").withColumn("batch", F.ceil(place / size)).drop("_b", "_before")
 
 
+def incomplete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a NULL in any of the columns."""
+    return df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
+
+
+def filter_case(df: DataFrame, cases: list[tuple[Column, Column]], otherwise: Column) -> DataFrame:
+    """Rows that meet the predicate of the first case whose condition they meet; NULL predicates drop the row."""
+    chosen = reduce(lambda w, c: w.when(*c), cases[1:], F.when(*cases[0])) if cases else None
+    return df.where(otherwise if chosen is None else chosen.otherwise(otherwise))
+
+
+def add_distinct_count(df: DataFrame, keys: list[str], value: str, name: str, count_null: bool = False) -> DataFrame:
+    """Rows with the number of different values in their group; NULL counts as one only with ``count_null``."""
+    n = F.count_distinct(value)
+    counts = df.groupBy(*keys).agg((n + F.max(F.col(value).isNull().cast("int")) if count_null else n).alias(name))
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(counts[k]) for k in keys])
+    return df.join(counts, on).select(df["*"], counts[name])
+
+
+def union_distinct(*parts: DataFrame) -> DataFrame:
+    """The different rows of all parts, matched by column name."""
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """All rows in an order that looks random and is the same in every run."""
+    return df.orderBy(hash_order(key, seed), key)
+
+
+def disjoint_strata(df: DataFrame, key: str, strata: dict[str, Column], n: int, seed: int, fill: str = "fill") -> DataFrame:
+    """``df`` with ``stratum``: up to ``n`` rows of each stratum, one after another, none twice; what short strata
+    lack is filled from all other rows.  Needs a unique key.  A condition that is NULL is not met."""
+    taken = None
+    for name, condition in [*strata.items(), (fill, F.lit(True))]:
+        want = n if name != fill else n * len(strata) - (taken.count() if taken is not None else 0)
+        pool = df.where(F.coalesce(condition, F.lit(False)))
+        if taken is not None:  # at most n rows a stratum
+            pool = pool.join(F.broadcast(taken.select(key)), key, "left_anti")
+        part = materialize(sample_up_to(pool, key, want, seed).withColumn("stratum", F.lit(name)), "stratum")
+        taken = part if taken is None else taken.unionByName(part)
+    return taken
+
+
 def second_largest(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """``keys, name``: the second largest value of each group, repeats counted, NULL if there is none."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))

@@ -10,6 +10,7 @@ from skerry.operators import metrics as M
 from skerry.operators.incoming import match_incoming
 from skerry.operators.multivalue import paths_array
 from skerry.operators.relational import hash_order
+from skerry.plans.learning import classified_paths
 from skerry.plans.multivalue import known_paths
 from skerry.sources.ris import parse_texts, to_ris
 from skerry.sources.tables import table
@@ -46,6 +47,14 @@ def topic_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.disagreements(*_sides(spark, sf_dir), "record_sequence", "path_id")
 
 
+def path_version_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the best path by keywords compares with the assigned paths and the right ones."""
+    gold, assigned = _sides(spark, sf_dir)
+    keyed = classified_paths(spark, sf_dir).where("pos = 1").select("record_sequence", "path_id")
+    keyed = keyed.join(gold.select("record_sequence").distinct(), "record_sequence", "left_semi")
+    return M.version_outcomes(assigned, keyed, gold, "record_sequence", "path_id")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "clean_records", "abstract_word_count", "has_valid_doi").where("abstract_word_count is not null and has_valid_doi is not null")
     return r.select(F.least(F.col("abstract_word_count") / 200.0, F.lit(1.0)).cast("double").alias("score"), F.col("has_valid_doi").alias("label"))
@@ -142,7 +151,7 @@ def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ontology_v4").select("path_id", F.concat_ws("\n", F.concat_ws(" | ", "path_id", "hierarchy_path"), *lines).alias("block"))
 
 
-QUERIES = {f.__name__: f for f in (topic_record_metrics, topic_code_metrics, topic_summary, topic_disagreements, threshold_sweep, operating_thresholds, incoming_matches, delivery_audit, label_conflicts, training_records, ris_round_trip, notices, retracted_records, prompt_blocks)}
+QUERIES = {f.__name__: f for f in (topic_record_metrics, topic_code_metrics, topic_summary, topic_disagreements, path_version_outcomes, threshold_sweep, operating_thresholds, incoming_matches, delivery_audit, label_conflicts, training_records, ris_round_trip, notices, retracted_records, prompt_blocks)}
 
 from skerry.plans.cleaning import _AUTHOR_KEY, _DOI, _TITLE_KEY, _squish  # noqa: E402
 
@@ -162,6 +171,10 @@ _SWEEP = """
     w as (select threshold, cast(sum(pos) over (order by threshold desc) as bigint) as tp, cast(sum(neg) over (order by threshold desc) as bigint) as fp, cast((select sum(pos) from q) as bigint) as p, cast((select sum(neg) from q) as bigint) as n from q),
     x as (select threshold, tp, fp, p - tp as fn, n - fp as tn from w),
     y as (select *, case when tp + fn > 0 then tp / (tp + fn) end as sensitivity, case when tn + fp > 0 then tn / (tn + fp) end as specificity, case when tp + fp > 0 then tp / (tp + fp) end as precision, case when tn + fn > 0 then tn / (tn + fn) end as npv from x)"""
+_KEYWORD = """
+    kw as (select path_id, list_filter(list_transform(string_split(concat_ws(';', nullif(required_focus_terms, ''), nullif(required_subject_terms, '')), ';'), lambda x: trim(x)), lambda x: x <> '') as cues from ontology_v4),
+    kh as (select record_sequence, path_id, len(list_filter(cues, lambda c: contains(lower(concat_ws(' ', title, abstract)), lower(c)))) as n from clean_records, kw),
+    w as (select record_sequence, path_id, row_number() over (partition by record_sequence order by n desc, path_id) as pos from kh where n > 0)"""
 _LABELLED = f"""
     l as (select distinct record_sequence, cast(review_required as int) as eligibility from topic_v4_llm_record where review_required is not null),
     r0 as (select record_sequence, eligibility, {_TITLE_KEY} as title_key, nullif({_DOI.replace('%s', 'doi')}, '') as doi_key, abstract is not null as has_abstract, coalesce(length(abstract), 0) as n_abstract, coalesce(length(title), 0) as n_title from clean_records join l using (record_sequence)),
@@ -193,7 +206,14 @@ ORACLE = {
         select tp, fp, fn, round(mp, 9) as macro_precision, round(mr, 9) as macro_recall, round(mf, 9) as macro_f1, round(me, 9) as exact_share, round(up, 9) as micro_precision, round(ur, 9) as micro_recall, round(2 * up * ur / (up + ur), 9) as micro_f1 from v""",
     "topic_disagreements": f"with {_SIDES} select record_sequence, path_id, case when ip then 'extra' else 'missing' end as kind from b where not (ig and ip)",
     "threshold_sweep": f"with {_SWEEP} select * from y",
-    "operating_thresholds": f"with {_SWEEP} select max(threshold) filter (sensitivity >= 0.99) as exclude_below, min(threshold) filter (precision >= 0.80 and tp > 0) as include_from from y",
+    "operating_thresholds": f"""
+        with {_SWEEP}, l as (select coalesce(max(threshold) filter (sensitivity >= 0.99), 0.0) as exclude_below, coalesce(min(threshold) filter (precision >= 0.80 and tp > 0), 1.0) as i from y), z as (select quantile_cont(score, 0.25) filter (label) as q from s)
+        select exclude_below, case when i <= exclude_below then least(1.0, greatest(exclude_below + 0.05, coalesce(q, 0.0))) else i end as include_from from l, z""",
+    "path_version_outcomes": f"""
+        with {_SIDES}, {_KEYWORD}, i as (select record_sequence, string_agg(path_id, '; ' order by path_id) as s from p group by 1), j as (select record_sequence, path_id as s from w where pos = 1 and record_sequence in (select record_sequence from g)), x as (select record_sequence, string_agg(path_id, '; ' order by path_id) as s from g group by 1),
+            v as (select x.record_sequence, coalesce(i.s, '') as first_set, coalesce(j.s, '') as second_set, x.s as gold_set from x left join i using (record_sequence) left join j using (record_sequence))
+        select *, case when first_set = gold_set and second_set = gold_set then 'Unchanged correct' when second_set = gold_set then 'Improved' when first_set = gold_set then 'Regressed' when first_set = second_set then 'Unchanged incorrect' else 'Changed but still incorrect' end as outcome,
+            first_set <> second_set and second_set <> gold_set as review_required from v""",
     "label_conflicts": f"""
         with {_LABELLED}, t as (select title_key from r group by 1 having count(distinct eligibility) > 1), d as (select doi_key from r where doi_key is not null group by 1 having count(distinct eligibility) > 1)
         select distinct record_sequence, eligibility, 'exact normalised title' as conflict_basis from r where title_key in (select title_key from t)

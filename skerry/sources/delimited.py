@@ -24,3 +24,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """A text folder with one line for each row, such as JSON requests or prompts; NULL gives none."""
+    df.where(df[column].isNotNull()).select(column).write.mode("overwrite").text(path)
