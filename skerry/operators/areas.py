@@ -101,8 +101,8 @@ def study_areas(mentions: DataFrame, key: str, strong: list[str], background: li
         F.when(F.col("title"), "named in the title").when(F.col("titled") & F.col("strong"), "further area of the study").when(F.col("strong"), "area of the study")
         .when(~F.col("titled") & (F.col("n_inside") == 1) & F.col("plain"), "only area of the abstract")
     )
-    per = per.withColumn("reason", reason).withColumn("n_unresolved", F.count_if(F.col("reason").isNull()).over(of)).withColumn("n_taken", F.count("reason").over(of)).withColumn("k", F.row_number().over(of.orderBy("area")))
-    per = per.where(F.col("reason").isNotNull() | ((F.col("n_taken") == 0) & (F.col("k") == 1)))
+    per = per.withColumn("reason", reason).withColumn("n_unresolved", F.count_if(F.col("reason").isNull()).over(of)).withColumn("n_taken", F.count("reason").over(of)).withColumn("_row", F.row_number().over(of.orderBy("area")))
+    per = per.where(F.col("reason").isNotNull() | ((F.col("n_taken") == 0) & (F.col("_row") == 1)))
     taken = F.col("reason").isNotNull()
     return per.select(key, F.when(taken, F.col("area")).alias("area"), F.when(F.col("title"), "title").when(taken, "abstract").alias("evidence"), "reason", "n_unresolved")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.operators import areas as A
+from skerry.operators import ontology as O
 from skerry.operators import places as P
 from skerry.operators.spans import dictionary, with_spans
 from skerry.operators.species import assign_species, detect_species, species_rows
@@ -113,6 +115,33 @@ def primary_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.primary_area(P.outermost(_mentions(spark, sf_dir), "record_sequence"), "record_sequence", STUDY, ENTITY, ARTEFACT)
 
 
+#: Areas of the gazetteer that are regions rather than places.
+REGIONS = ["north", "ocean"]
+
+
+def strict_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the title, or the one best area of the abstract; ties and regions in the title go to review."""
+    return A.strict_areas(P.outermost(_mentions(spark, sf_dir), "record_sequence"), "record_sequence", F.col("area").isin(REGIONS))
+
+
+def study_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas a study was made in, with the evidence and the number of areas left open."""
+    strong, background = (A.phrases(t) for t in (A.LOCATIONS, A.BACKGROUND))
+    return A.study_areas(P.outermost(_mentions(spark, sf_dir), "record_sequence"), "record_sequence", strong, background, A.phrases(A.ARTEFACTS))
+
+
+def area_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name with its mentions, records and areas, and whether it looks suspicious (short, or of several areas)."""
+    per = _mentions(spark, sf_dir).groupBy(F.lower("matched_text").alias("name")).agg(F.count("*").alias("n_mentions"), F.count_distinct("record_sequence").alias("n_records"), F.count_distinct("area").alias("n_areas"))
+    return per.withColumn("suspicious", (F.char_length("name") <= 5) | (F.col("n_areas") > 1))
+
+
+def observed_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics met in the texts as an ontology, with the terms they were met by."""
+    found = _topics(spark, sf_dir).select(F.inline("mentions")).select(*O.LEVELS, F.col("matched_term").alias("term"))
+    return O.build_ontology(found)
+
+
 _TERMS = sorted({r["term"].lower() for r in species_rows()})
 _G = ", ".join("('{}', '{}', {}, {}, {})".format(*[x.strip() for x in line.split("|")]) for line in GAZETTEER.strip().splitlines())
 _TOKENS = r"regexp_extract_all(coalesce(%s, ''), '[\p{L}\p{N}]+(?:[-''’][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]')"
@@ -136,7 +165,10 @@ _TOPICS = r"""
 _RX = lambda p: p.replace("'", "''")
 _SCORE = " + ".join(f"case when regexp_matches(context, '{_RX(p)}') then {s} else 0.0 end" for _, p, s in RULES)
 
-QUERIES = {f.__name__: f for f in (term_counts, species_mentions, species_assignments, topic_mentions, record_topics, place_mentions, place_outermost, place_summary, area_scores, primary_areas)}
+_ANY = lambda listed: "(" + " or ".join(f"contains(lower(context), '{p}')" for p in listed) + ")"
+_REGION = f"area in ({', '.join(repr(r) for r in REGIONS)})"
+
+QUERIES = {f.__name__: f for f in (term_counts, species_mentions, species_assignments, topic_mentions, record_topics, place_mentions, place_outermost, place_summary, area_scores, primary_areas, strict_areas, study_areas, area_audit, observed_ontology)}
 ORACLE = {
     "term_counts": f"""
         with d(term) as (values {', '.join(f"('{t}')" for t in _TERMS)}),
@@ -170,4 +202,34 @@ ORACLE = {
             k as (select * from a qualify tier = min(tier) over (partition by record_sequence)),
             f as (select *, count(*) over (partition by record_sequence) as n_best, row_number() over (partition by record_sequence order by tier, n_title desc, n_strong desc, n_mentions desc, area) as rank from k)
         select record_sequence, area, tier, n_mentions, n_best > 1 as review_required from f where n_best <= 2 or rank = 1""",
+    "strict_areas": f"""
+        with {_MENTIONS},
+            q as (select record_sequence, case when not {_REGION} then area end as area, source = 'title' as title, case when source = 'title' then 1 when {_ANY(A.phrases(A.LOCATIONS))} then 2 when {_ANY(A.phrases(A.ENTITIES))} and not {_ANY(A.phrases(A.BACKGROUND))} then 3 when {_ANY(A.phrases(A.BACKGROUND))} then 5 else 4 end as tier
+                from o where case when {_REGION} then source = 'title' else not {_ANY(A.phrases(A.ARTEFACTS))} and not ({' or '.join(f"contains(lower(context), lower(matched_text) || ' {x}')" for x in A.FISH)}) end),
+            a as (select record_sequence, area, min(tier) as tier, count(*) filter (title) as n_title, count(*) filter (tier <= 3) as n_strong, count(*) as n from q where area is not null group by all),
+            f as (select record_sequence, count(*) filter (n_title > 0) as titled, record_sequence in (select record_sequence from q where area is null) as scope from a group by record_sequence),
+            k as (select *, rank() over (partition by record_sequence order by tier, n_strong desc, n desc) as r from a),
+            z as (select *, count(*) filter (r = 1) over (partition by record_sequence) as ties from k join f using (record_sequence)),
+            c as (select *, case when titled > 0 then n_title > 0 else not scope and r = 1 and ties = 1 end as chosen from z),
+            y as (select *, case when titled = 1 then 'one area in the title' when titled > 1 then 'areas named together in the title' when tier = 2 then 'study location' when tier = 3 then 'study entity' when tier = 4 then 'dominant mention' else 'strongest evidence' end as why,
+                case when titled = 0 and scope then 'title names a region' when titled = 0 and ties > 1 then 'best areas are tied' end as review from c)
+        select record_sequence, string_agg(area, '; ' order by area) filter (chosen) as areas, count(*) filter (chosen) as n_areas, string_agg(distinct why, '; ' order by why) filter (chosen) as reason, max(review) is not null as review_required, max(review) as review_reason from y group by 1""",
+    "study_areas": f"""
+        with {_MENTIONS},
+            q as (select record_sequence, area, source = 'title' as title, {_ANY(A.phrases(A.LOCATIONS))} as strong, {_ANY(A.phrases(A.BACKGROUND))} as background from o where not {_ANY(A.phrases(A.ARTEFACTS))}),
+            a as (select record_sequence, area, bool_or(title) as title, bool_or(not title) as inside, bool_or(not title and strong) as strong, bool_or(not title and not background) as plain from q group by all),
+            h as (select *, bool_or(title) over (partition by record_sequence) as titled, count(*) filter (inside) over (partition by record_sequence) as n_inside from a),
+            c as (select *, case when title then 'named in the title' when titled and strong then 'further area of the study' when strong then 'area of the study' when not titled and n_inside = 1 and plain then 'only area of the abstract' end as reason from h),
+            d as (select record_sequence, count(*) filter (reason is null) as n_unresolved from c group by 1)
+        select record_sequence, area, case when title then 'title' else 'abstract' end as evidence, reason, n_unresolved from c join d using (record_sequence) where reason is not null
+        union all select record_sequence, null, null, null, n_unresolved from d where record_sequence not in (select record_sequence from c where reason is not null)""",
+    "area_audit": f"""
+        with {_MENTIONS}, a as (select lower(matched_text) as name, count(*) as n_mentions, count(distinct record_sequence) as n_records, count(distinct area) as n_areas from m group by 1)
+        select *, length(name) <= 5 or n_areas > 1 as suspicious from a""",
+    "observed_ontology": f"""
+        with {_TOPICS}, e as (select broad_topic, subtopic, feature, component, unnest(regexp_extract_all(text, rx)) as term from h),
+            u as (select broad_topic, subtopic, feature, component, min(term) as term from e where term <> '' group by broad_topic, subtopic, feature, component, lower(term)),
+            v as (select broad_topic, subtopic, feature, component, count(*) as term_count, string_agg(term, '; ' order by term) as supporting_terms from u group by all)
+        select 'TOPIC_' || lpad(cast(row_number() over (order by broad_topic, subtopic, feature, component) as varchar), 3, '0') as path_id, broad_topic, subtopic, feature, component,
+            concat_ws(' > ', broad_topic, subtopic, feature, component) as hierarchy_path, term_count, supporting_terms from v""",
 }
