@@ -164,15 +164,14 @@ def _same_people(a: str, b: str) -> bool:
     return hits >= 0.5 * min(len(names), b.count("\n") + 1)
 
 
-def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str], shared: float = 0.5) -> bool:
-    """Whether two records (form, series, people, body) are of one publication: the same parts or
-    years, half of the shorter abstract's sentences up to small edits, near titles and names."""
-    if a[1] != b[1]:
-        return False
-    s, t = set(a[0].split("|")[0].split()), set(b[0].split("|")[0].split())
-    if len(s & t) < 0.3 * min(len(s), len(t)):
-        return False
-    x, y = a[3].split("\n"), b[3].split("\n")
+def near_heads(form_a: str, people_a: str, form_b: str, people_b: str) -> bool:
+    """Whether titles and names are near enough for one publication."""
+    return _share(form_a.split("|")[0].split(), form_b.split("|")[0].split()) >= 0.6 and _same_people(people_a, people_b)
+
+
+def same_text(a: str, b: str, shared: float = 0.5) -> bool:
+    """Whether a share of the shorter abstract's sentences recurs in the other up to small edits."""
+    x, y = a.split("\n"), b.split("\n")
     if sum(map(len, x)) > sum(map(len, y)):
         x, y = y, x
     whole, got, open_y = sum(map(len, x)), 0, set(y)
@@ -187,9 +186,18 @@ def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str],
             t = max(2, len(s) // 20)
             if any(abs(len(s) - len(o)) <= t and distance(s, o, t) <= t for o in open_y):
                 got += len(s)
-    if not whole or got < shared * whole:
+    return whole > 0 and got >= shared * whole
+
+
+def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str], shared: float = 0.5) -> bool:
+    """Whether two records (form, series, people, body) are of one publication: the same parts or
+    years, half of the shorter abstract's sentences up to small edits, near titles and names."""
+    if a[1] != b[1]:
+        return False
+    s, t = set(a[0].split("|")[0].split()), set(b[0].split("|")[0].split())
+    if len(s & t) < 0.3 * min(len(s), len(t)):
         return False
-    return _share(a[0].split("|")[0].split(), b[0].split("|")[0].split()) >= 0.6 and _same_people(a[2], b[2])
+    return near_heads(a[0], a[2], b[0], b[2]) and same_text(a[3], b[3], shared)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -206,21 +214,36 @@ def _likely(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     return pairs.where((F.col("a_series") == F.col("b_series")) & common).select("a", "b")
 
 
+def _fields_of(pairs: DataFrame, store: DataFrame, fields: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with ``a_`` and ``b_`` fields, and the table of the fields that they are read from."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("record_sequence")).distinct(), f"{name}-ids")
+    needed = materialize(store.select("record_sequence", *fields).join(_few(ids), "record_sequence", "left_semi"), name)
+    release(ids)
+    for k in "ab":
+        pairs = pairs.join(needed.select(F.col("record_sequence").alias(k), *[F.col(f).alias(f"{k}_{f}") for f in fields]), k)
+    return pairs.select("a", "b", *[f"{k}_{f}" for k in "ab" for f in fields]), needed
+
+
 def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of one publication; ``store`` has the contents of all their records."""
-    fields = ["form", "series", "people", "body"]
-    pairs = materialize(_likely(pairs, store), "likely-pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("record_sequence")).distinct(), "candidate-ids")
-    needed = materialize(store.select("record_sequence", *fields).join(_few(ids), "record_sequence", "left_semi"), "candidate-texts")
-    joined = pairs.join(needed.select(F.col("record_sequence").alias("a"), *[F.col(f).alias(f"a_{f}") for f in fields]), "a")
-    joined = joined.join(needed.select(F.col("record_sequence").alias("b"), *[F.col(f).alias(f"b_{f}") for f in fields]), "b")
-
-    def check(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+    """The pairs (``a``, ``b``) of one publication; ``store`` has the contents of all their records.
+
+    Titles and names are compared first, so long texts go only where these are near."""
+
+    def heads(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            yield [(r[0], r[1]) for r in zip(*batch, strict=True) if same_publication(r[2:6], r[6:10])]
+            yield [r[:2] for r in zip(*batch, strict=True) if near_heads(*r[2:])]
 
-    found = materialize(map_lists(joined.select("a", "b", *[f"{k}_{f}" for k in "ab" for f in fields]), check, "a int, b int"), "verified-pairs")
-    release(pairs, ids, needed)
+    def bodies(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            yield [r[:2] for r in zip(*batch, strict=True) if same_text(*r[2:])]
+
+    likely = materialize(_likely(pairs, store), "likely-pairs")
+    joined, read = _fields_of(likely, store, ["form", "people"], "candidate-heads")
+    near = materialize(map_lists(joined, heads, "a int, b int"), "near-pairs")
+    release(likely, read)
+    joined, read = _fields_of(near, store, ["body"], "candidate-texts")
+    found = materialize(map_lists(joined, bodies, "a int, b int"), "verified-pairs")
+    release(near, read)
     return found
 
 
