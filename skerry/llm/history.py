@@ -103,12 +103,14 @@ def segment_keys(df: DataFrame, edits: int, ask: bool) -> DataFrame:
 
 
 def title_words(df: DataFrame) -> DataFrame:
-    """``record_sequence, t, rare``: the distinct words of each title.  Two titles that have 30 % of the shorter
-    one's words in common share one that is ``rare`` in the shorter."""
+    """``record_sequence, ws, t, rare``: the distinct words of each title, the rarest first, and each of them.  Two titles
+    that have 30 % of the shorter one's words in common share one that is ``rare`` in the shorter, and the first
+    that they share is such a one."""
     each = df.select("record_sequence", F.explode(F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " "))).alias("t")).where("t <> ''")
     each = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t")
-    size, place = F.count("*").over(W.partitionBy("record_sequence")), F.row_number().over(W.partitionBy("record_sequence").orderBy("n", "t"))
-    return each.select("record_sequence", "t", (place <= size - F.ceil(F.lit(0.3) * size) + 1).alias("rare"))
+    lists = each.groupBy("record_sequence").agg(F.array_sort(F.collect_list(F.struct("n", "t")))["t"].alias("ws"))
+    last_rare = F.size("ws") - F.ceil(F.lit(0.3) * F.size("ws"))
+    return lists.select("record_sequence", "ws", F.posexplode("ws").alias("place", "t")).select("record_sequence", "ws", "t", (F.col("place") <= last_rare).alias("rare"))
 
 
 def _long_words(people: str) -> list[list[str]]:
@@ -374,14 +376,16 @@ class History:
         facts = materialize(self.read("contents", self.parts("contents")).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
         titles = materialize(title_words(facts).join(facts.select("record_sequence", "series"), "record_sequence"), "hot-titles")
         on = ["key", "t", "series"]
-        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p"}), "p")
-        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r"}), "r")
-        rare = F.col("rare_p") | F.col("rare_r")
+        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p", "ws": "ws_p"}), "p")
+        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r", "ws": "ws_r"}), "r")
+        # a pair goes on from the first word it shares, if it shares enough
+        common = F.array_intersect("ws_p", "ws_r")
+        met_here = (F.col("rare_p") | F.col("rare_r")) & (F.get(common, F.lit(0)) == F.col("t")) & (F.size(common) >= F.lit(0.3) * F.least(F.size("ws_p"), F.size("ws_r")))
         crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * self.hot).select(*on), "crowded-words")
         if crowded.isEmpty():
-            return have.join(ask, on).where(rare).select("p", "r", "old")
+            return have.join(ask, on).where(met_here).select("p", "r", "old")
         crowd = _few(crowded)
-        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(rare).select("p", "r", "old")
+        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(met_here).select("p", "r", "old")
 
         def named(df: DataFrame, asking: bool) -> DataFrame:
             def make(rows: Iterator[list[list]]) -> Iterator[list[tuple]]:
@@ -393,7 +397,7 @@ class History:
             keys = map_lists(facts.join(inside.select(F.col(who).alias("record_sequence")).distinct(), "record_sequence", "left_semi").select("record_sequence", "people"), make, f"{who} int, w string")
             return inside.join(keys, who)
 
-        close = named(have, False).join(named(ask, True), [*on, "w"]).where(rare).select("p", "r", "old")
+        close = named(have, False).join(named(ask, True), [*on, "w"]).where(met_here).select("p", "r", "old")
         return plain.unionByName(close)
 
     def verify(self) -> None:
