@@ -133,8 +133,8 @@ def _near(a: str, b: str) -> bool:
     return a == b or (abs(len(a) - len(b)) <= 3 and (t := 1 if min(len(a), len(b)) < 5 else 2) and distance(a, b, t) <= t)
 
 
-def _share(a: list[str], b: list[str]) -> float:
-    """Share of the shorter list's words that the longer one has, up to small typos."""
+def _share(a: list[str], b: list[str], least: float = 0.0) -> float:
+    """Share of the shorter list's words that the longer one has, up to small typos; 0 as soon as ``least`` is out of reach."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -147,7 +147,9 @@ def _share(a: list[str], b: list[str]) -> float:
             hits += 1
         else:
             rest.append(w)
-    for w in rest:
+    for i, w in enumerate(rest):
+        if (hits + len(rest) - i) / len(a) < least:
+            return 0.0
         for x in left:
             if len(w) > 2 and _near(w, x):
                 left.remove(x)
@@ -162,13 +164,17 @@ def _same_people(a: str, b: str) -> bool:
         return True
     names = _long_words(a)
     others = [w for x in b.split("\n") for w in x.split() if len(w) > 3] or b.split()
-    hits = sum(any(_near(w, o) or len(w) > 5 < len(o) and (w.endswith(o) or o.endswith(w)) for w in n for o in others) for n in names)
-    return hits >= 0.5 * min(len(names), b.count("\n") + 1)
+    need, hits, known = 0.5 * min(len(names), b.count("\n") + 1), 0, set(others)
+    for i, n in enumerate(names):
+        if hits >= need or hits + len(names) - i < need:  # settled either way
+            break
+        hits += not known.isdisjoint(n) or any(_near(w, o) or len(w) > 5 < len(o) and (w.endswith(o) or o.endswith(w)) for w in n for o in others)
+    return hits >= need
 
 
 def near_heads(form_a: str, people_a: str, form_b: str, people_b: str) -> bool:
     """Whether titles and names are near enough for one publication."""
-    return _share(form_a.split("|")[0].split(), form_b.split("|")[0].split()) >= 0.6 and _same_people(people_a, people_b)
+    return _share(form_a.split("|")[0].split(), form_b.split("|")[0].split(), 0.6) >= 0.6 and _same_people(people_a, people_b)
 
 
 def same_text(a: str, b: str, shared: float = 0.5) -> bool:
@@ -326,7 +332,7 @@ class History:
         links = links.unionByName(same.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
         self._write(links.distinct(), "forms", batch)
         # texts of the new classes go into the index
-        new = rows.join(heads.select("record_sequence"), "record_sequence", "left_semi")
+        new = rows.join(_few(heads.select("record_sequence")), "record_sequence", "left_semi")
         self._write(segment_keys(new, self.edits, ask=False), "index", batch)
         self._write(self._candidates(new, [*before, batch]), "candidates", batch)
         release(mine, nodes, found)
