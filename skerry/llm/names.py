@@ -1,11 +1,13 @@
 """Linking the spellings of one person or organisation (problem 6).
 
-Spellings are folded to tokens.  A symmetric-delete neighbourhood index on the family name (for
-organisations the place) brings together names within one edit: every token is stored under
+Spellings are folded to tokens.  A symmetric-delete neighbourhood index on the family name
+brings together names within one edit: every token is stored under
 itself and under each string with one letter left out.  Full names meet where the first given name agrees
-too, up to one edit or a nickname; names with initials meet the best full names of each pattern of
-initials, since all names of one pattern fit them equally well.  So a common family name makes no
-large block.  Candidates are aligned token by token, by the cheapest assignment (Hungarian method) that
+too, up to one edit or a nickname; names with initials meet the best name of each pattern of
+initials, since all names of one pattern fit initials equally well, and where they have full given names
+behind an initial also every name that one of these agrees with.  Organisations meet by the first letters of all
+their words.  So a common family name makes no
+large block, and no pair that aligns is left out.  Candidates are aligned token by token, by the cheapest assignment (Hungarian method) that
 permits initials, abbreviations, nicknames and one edit.
 
 Each folded name takes one parent, the likeliest name of higher rank (full before abbreviated, a
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,12 +138,6 @@ def deletes(token: str, least: int = 4) -> list[str]:
     return list(dict.fromkeys([token, *(token[:i] + token[i + 1 :] for i in range(len(token)))])) if len(token) >= least else [token]
 
 
-def first_letters(given: str) -> list[str]:
-    """First letters under which a given name may appear."""
-    first = given.split(" ")[0]
-    return sorted({first[:1], *(f[0] for f in _FORMAL.get(first, ()))}) if first else []
-
-
 def given_keys(given: str) -> list[str]:
     """Keys of which two full given names share one if their first tokens agree: the token with its deletes,
     what it is a nickname of, and all tokens written together."""
@@ -148,6 +145,31 @@ def given_keys(given: str) -> list[str]:
     return sorted({*deletes(first, 3), *_FORMAL.get(first, ()), *([f"{first}{''.join(rest)}"] if rest else [])})
 
 
+def later_keys(given: str) -> list[str]:
+    """Keys of which two names share one if a full given name behind the first of one agrees with such a one of the
+    other, and their first letters are the same."""
+    first, *rest = given.split(" ")
+    return sorted({f"{first[:1]} {k}" for t in rest if len(t) > 1 for k in (*deletes(t, 3), *_FORMAL.get(t, ()))})
+
+
+def organisation_keys(words: str) -> list[str]:
+    """Keys of which two organisations share one if their words agree: the first letters of all words, since these stay
+    in abbreviations and most edits; for up to three words with an edit in the first letter what such an
+    edit leaves of them, beside the letters of the others."""
+    ws = words.split()
+    long = [i for i, w in enumerate(ws) if len(w) > 3]
+
+    def key(left: tuple[str, ...], edited: tuple[int, ...]) -> str:
+        return " ".join([str(len(ws)), *sorted(left), "".join(sorted(w[0] for i, w in enumerate(ws) if i not in edited))])
+
+    out = {key((), ())}
+    for edited in (x for n in (1, 2, 3) for x in combinations(long, n)):
+        tails = [{ws[i], ws[i][1:], ws[i][0] + ws[i][2:]} for i in edited]
+        # beside three or more letters one of the edited words is enough
+        out |= {key(left, edited) for left in product(*tails)} if len(ws) < 6 else {key((t,), edited) for ts in tails for t in ts}
+    return sorted(out)
+
+
 def assign(costs: list[list[float]]) -> float:
     """Least total cost of giving each row a column of its own (rows no more than columns), by shortest
     augmenting paths."""
@@ -326,37 +348,34 @@ def entities(names: DataFrame) -> DataFrame:
     a = [F.col("node").alias("child"), F.col("org"), F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("spread").alias("ta"), F.struct("full", "width", "n", "node").alias("rank_a")]
     b = [F.col("node").alias("parent"), F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("spread").alias("tb"), F.col("n"), F.struct("full", "width", "n", "node").alias("rank_b")]
     lower = (F.col("child") != F.col("parent")) & (F.col("rank_b") > F.col("rank_a"))
+    # of one family and pattern the most frequent name stands for all
+    best = W.partitionBy("family", _pattern(F.col("given"))).orderBy(F.desc("n"), F.desc("node"))
+    heads = nodes.where("not org").withColumn("k", F.row_number().over(best)).where("k = 1")
     pairs = None
-    for kind, (children, parents) in {"o": ("org", "org"), "f": ("full and not org", "full and not org"), "i": ("not full", "not org")}.items():
-        keyed = nodes.where(parents).select("*", F.explode(_index_keys(F.lit(kind), F.col("family"), F.col("given"))).alias("key"))
-        right = keyed
-        if kind == "i":  # of one family and pattern the most frequent name stands for all
-            best = W.partitionBy("key", "family", "full", _pattern(F.col("given"))).orderBy(F.desc("n"), "node")
-            right = keyed.withColumn("k", F.row_number().over(best)).where("k = 1")
-        met = keyed.where(children).select(*a, "key").join(right.select(*b, "key"), "key").where(lower).drop("key", "rank_a", "rank_b")
+    for kind, (children, parents) in {"o": (nodes.where("org"), nodes.where("org")), "f": (nodes.where("full and not org"), nodes.where("full and not org")), "i": (nodes.where("not full"), heads), "m": (nodes.where("not full"), nodes.where("not org"))}.items():
+        left, right = (t.select(*columns, F.explode(_index_keys(kind, F.col("family"), F.col("given"))).alias("key")) for t, columns in ((children, a), (parents, b)))
+        met = left.join(right, "key").where(lower).drop("key", "rank_a", "rank_b")
         pairs = met if pairs is None else pairs.unionByName(met)
     pairs = pairs.dropDuplicates(["child", "parent"])
-    top = W.partitionBy("child").orderBy("cost", F.col("n").desc(), "parent")
+    top = W.partitionBy("child").orderBy("cost", F.col("n").desc(), F.col("parent").desc())
     links = _pair_costs(pairs).withColumn("k", F.row_number().over(top)).where("k = 1").select(F.col("child").alias("a"), F.col("parent").alias("b"))
     groups = connected_components(links)
     release(nodes)
     return read.join(groups, "node", "left").select("name", F.coalesce("component", "node").alias("entity"))
 
 
-def _index_keys(kind: Column, family: Column, given: Column) -> Column:
-    """Keys by ``kind``: organisations by a word and their number of words, full names by family and first given
-    name, names that may have initials by family and first letter."""
+def _index_keys(kind: str, family: Column, given: Column) -> Column:
+    """Hashed keys by ``kind``: organisations by ``organisation_keys``, full names by family and first given name, names
+    that may have initials by family and first letter (``m``: and a full given name behind it)."""
 
     @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-    def keys(what: str, f: str, g: str) -> list[str]:
-        if what == "o":
-            ws = g.split()
-            ends = {w for w in (ws[-1], ws[0]) if w not in ORG_HEADS and len(w) > 3} if ws else set()
-            return sorted({f"o {len(ws)} {d}" for w in ends for d in deletes(w)})
-        of = given_keys(g) if what == "f" else first_letters(g)
-        return [f"{what} {k} {d}" for d in deletes(f) for k in of]
-
-    return keys(kind, family, given)
+    def keys(f: str, g: str) -> list[str]:
+        if kind == "o":
+            return organisation_keys(g)
+        of = given_keys(g) if kind == "f" else later_keys(g) if kind == "m" else [g[:1]]
+        return [f"{k} {d}" for d in deletes(f) for k in of] if of else []
+
+    return F.transform(keys(family, given), lambda k: F.xxhash64(k))
 
 
 def _pattern(given: Column) -> Column:
