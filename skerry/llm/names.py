@@ -354,7 +354,8 @@ def entities(names: DataFrame) -> DataFrame:
     pairs = None
     for kind, (children, parents) in {"o": (nodes.where("org"), nodes.where("org")), "f": (nodes.where("full and not org"), nodes.where("full and not org")), "i": (nodes.where("not full"), heads), "m": (nodes.where("not full"), nodes.where("not org"))}.items():
         left, right = (t.select(*columns, F.explode(_index_keys(kind, F.col("family"), F.col("given"))).alias("key")) for t, columns in ((children, a), (parents, b)))
-        met = left.join(right, "key").where(lower).drop("key", "rank_a", "rank_b")
+        # a small table has many keys: by its own size Spark would broadcast it
+        met = left.join(right.hint("merge"), "key").where(lower).drop("key", "rank_a", "rank_b")
         pairs = met if pairs is None else pairs.unionByName(met)
     pairs = pairs.dropDuplicates(["child", "parent"])
     top = W.partitionBy("child").orderBy("cost", F.col("n").desc(), F.col("parent").desc())

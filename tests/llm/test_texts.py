@@ -1,9 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from skerry.llm import names
+from skerry.llm.components import connected_components
 from skerry.llm.leakage import best_run, leaked_items, plain_words
 from skerry.llm.names import align_given, align_organisations, entities, organisation_keys, organisation_tokens, read_name, spelling_pairs, spellings
 from skerry.llm.packing import differencing, exchange, pack_block, packed, settle, token_counts
@@ -120,6 +123,17 @@ def test_keys_meet_wherever_names_align():
             assert set(organisation_keys(" ".join(a))) & set(organisation_keys(" ".join(b))), (a, b)
 
 
+def test_exploded_keys_are_never_broadcast(spark):
+    df = spark.createDataFrame([("Holm, Anna", 2), ("Holm, A.", 1)], "name string, n bigint")
+    before, plans = connected_components, []
+    try:
+        names.connected_components = lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or before(links)
+        entities(df)
+    finally:
+        names.connected_components = before
+    assert plans and not re.search(r"BroadcastHashJoin \[key", plans[0])
+
+
 # problem 7
 
 
