@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from skerry.sources.tables import materialize
+
 #: Blocks of near titles and the columns that name them.
 BLOCKS = ["year", "author_key", "title_prefix", "token_key"]
-#: Share of the shorter title's characters (by the words they stand in) that near titles are taken to have in common.
-COMMON = 0.3
+#: Letters counted together, seven to a number; a count of more than ``MOST`` goes on among the blanks.
+LETTERS = [*"abcdefghijklmnopqrstuvwxyz01234567", "89"]
+MOST = 51
+#: Parts of a year's new titles, each compared with all the year's masters in a task of its own.
+YEAR_PARTS = 8
 
 
 def jaro_winkler_pair(a: str, b: str, weight: float = 0.1) -> float:
@@ -50,54 +55,74 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 
 def _letters(title: Column) -> Column:
-    """How often each letter and digit of a title key occurs, as an array of counts."""
-    return F.array(*[F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    """How often each letter and digit of a title key occurs: numbers of seven counts of a byte each (``l0``, ``l1``
+    and on), and how many characters these leave out (``blanks``)."""
+    counts = [F.least(F.length(title) - F.length(F.replace(title, F.lit(c), F.lit("")) if len(c) == 1 else F.translate(title, c, "")), F.lit(MOST)).cast("bigint") for c in LETTERS]
+    packed = [sum((F.shiftleft(c, 8 * k) for k, c in enumerate(counts[i : i + 7])), F.lit(0).cast("bigint")).alias(f"l{i // 7}") for i in range(0, len(counts), 7)]
+    return F.struct(*packed, (F.length(title) - sum(counts, F.lit(0))).cast("int").alias("blanks"))
+
+
+def _start(title: Column) -> Column:
+    """The first four characters of a title key as a number, the first in the highest byte."""
+    return sum((F.shiftleft(F.coalesce(F.ascii(F.substring(title, k + 1, 1)), F.lit(0)).cast("bigint"), 24 - 8 * k) for k in range(4)), F.lit(0).cast("bigint"))
+
+
+def _common(la: list[Column], lb: list[Column]) -> Column:
+    """How many letters two titles have in common, of the numbers of ``_letters``.  Seven counts are compared at once: the top
+    bit of a byte tells whether the first count is at least the second one."""
+    top, low = F.lit(0x80808080808080), F.lit(0x00FF00FF00FF00FF)
+    least = F.lit(0).cast("bigint")
+    for x, y in zip(la, lb, strict=True):
+        gap = x.bitwiseOR(top) - y
+        least = least + (x - gap.bitwiseAND(gap.bitwiseAND(top) - F.shiftrightunsigned(gap.bitwiseAND(top), 7)))
+    # bytes become pairs of bytes, whose sum is the remainder by 65535
+    return (least.bitwiseAND(low) + F.shiftrightunsigned(least, 8).bitwiseAND(low)) % 65535
+
+
+def _may_reach(x: dict[str, Column], y: dict[str, Column], least: float) -> Column:
+    m = _common(*[[t[f"l{k}"] for k in range(-(-len(LETTERS) // 7))] for t in (x, y)]) + F.least(x["blanks"], y["blanks"])
+    unlike = x["start"].bitwiseXOR(y["start"])
+    # with p common characters in front: jaro + p / 10 (1 - jaro) >= least, where jaro is at most (m / n + m / n' + 1) / 3;
+    # m stands in it once, as Java compiles no method beyond a certain size
+    share = [3 * (least - 1e-9 - p * 0.1) / (1 - p * 0.1) - 1 for p in range(5)]
+    enough = F.when(unlike == 0, share[4]).when(unlike < 1 << 8, share[3]).when(unlike < 1 << 16, share[2]).when(unlike < 1 << 24, share[1]).otherwise(share[0])
+    # a threshold of s allows no less than 1 - 3 (1 - s) / 0.6 of the longer title
+    ratio = 1 - (1 - least) / 0.6 * 3
+    return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * ratio - 1e-9) & (m * (x["n"] + y["n"]) >= enough * x["n"] * y["n"])
 
 
 def may_reach(a: Column, b: Column, la: Column, lb: Column, least: float) -> Column:
     """Whether two titles with letter counts ``la`` and ``lb`` can be ``least`` similar: the letters they have in
     common bound the matches of Jaro, the common prefix the rest.  Loses no pair, and needs no Python."""
-    common = F.aggregate(F.zip_with(la, lb, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    blanks = F.least(F.length(a) - F.aggregate(la, F.lit(0), lambda s, x: s + x), F.length(b) - F.aggregate(lb, F.lit(0), lambda s, x: s + x))
-    m = common + blanks
-    jaro = (m / F.length(a) + m / F.length(b) + 1) / 3
-    prefix = F.lit(0)
-    for n in (1, 2, 3, 4):
-        prefix = prefix + F.when(F.substring(a, 1, n) == F.substring(b, 1, n), 1).otherwise(0)
-    return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-9
-
-
-def rare_words(df: DataFrame, who: str) -> DataFrame:
-    """``who, w, rare`` of the distinct words of ``title_key``.  Two titles with a share ``COMMON`` of the shorter
-    one's words in common share one that is ``rare`` in the shorter."""
-    each = df.select(F.col("id").alias(who), "side", F.explode(F.array_distinct(F.split("title_key", " "))).alias("w"))
-    each = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w")
-    of = W.partitionBy("side", who)
-    return each.select(who, "side", "w", (F.row_number().over(of.orderBy("n", "w")) <= F.count("*").over(of) - F.ceil(F.lit(COMMON) * F.count("*").over(of)) + 1).alias("rare"))
+    sides = [{f: letters[f] for f in ("blanks", *(f"l{k}" for k in range(-(-len(LETTERS) // 7))))} | {"n": F.length(t), "start": _start(t)} for t, letters in ((a, la), (b, lb))]
+    return _may_reach(*sides, least)
 
 
 def near_pairs(new: DataFrame, master: DataFrame, least: float) -> DataFrame:
     """``new_id, master_id, rank, similarity`` of the pairs of at least ``least`` similar titles in one of the
     ``BLOCKS``; ``rank`` is the first of their common blocks, from 0.
 
-    Blocks may be as large as a year, so within a block titles meet by a word that is rare in one of them.
-    Titles without a common word are not met; README says how many that loses.
+    All pairs of a block are compared by their letter counts, which loses none; only those that can be similar enough are shuffled
+    and read as texts.  A block is joined by one short row for each title, whatever its words.
     """
-    titled = new.where("title_key <> ''").withColumn("side", F.lit(0)).unionByName(master.where("title_key <> ''").withColumn("side", F.lit(1)))
-    words = rare_words(titled, "id_")
     blocks = F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.xxhash64(F.lit(i), F.col(c).cast("string"))) for i, c in enumerate(BLOCKS)])
-    facts = titled.select(F.col("id").alias("id_"), "side", F.col("title_key").alias("t"), blocks.alias("b"))
-    met = facts.join(words, ["id_", "side"]).select("*", F.explode("b").alias("block")).where("block is not null")
-    left = met.where("side = 0").select(F.col("id_").alias("new_id"), "w", "block", F.col("rare").alias("rare_new"), F.length("t").alias("n"))
-    right = met.where("side = 1").select(F.col("id_").alias("master_id"), "w", "block", F.col("rare").alias("rare_master"), F.length("t").alias("m"))
-    # a threshold of s allows no less than 1 - 3 (1 - s) / 0.6 of the longer title
-    ratio = 1 - (1 - least) / 0.6 * 3
-    pairs = left.join(right, ["block", "w"]).where((F.col("rare_new") | F.col("rare_master")) & (F.least("n", "m") >= ratio * F.greatest("n", "m"))).select("new_id", "master_id").distinct()
+    titled = [t.where("title_key <> ''").select("id", F.lit(side).alias("side"), F.col("title_key").alias("t"), blocks.alias("b"), F.length("title_key").alias("n"), _start(F.col("title_key")).alias("start"), _letters(F.col("title_key")).alias("l")).select("id", "side", "t", "b", "n", "start", "l.*") for side, t in enumerate((new, master))]
+    titled = materialize(titled[0].unionByName(titled[1]), "titles")
+    facts = titled.select(*[c for c in titled.columns if c not in ("t", "b")], F.posexplode("b").alias("rank", "block")).where("block is not null")
+    of_year = F.col("rank") == 0
+    part = F.pmod(F.xxhash64("id"), F.lit(YEAR_PARTS)).cast("int")
+    left = facts.where("side = 0").withColumn("part", F.when(of_year, part).otherwise(0))
+    right = facts.where("side = 1").withColumn("part", F.explode(F.when(of_year, F.sequence(F.lit(0), F.lit(YEAR_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    # few bytes, much work: a given number of partitions is left as it is
+    tasks = 2 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in facts.columns if c not in ("side", "block")]
+    left, right = (t.select(F.xxhash64("block", "part").alias(f"{side}_key"), *[F.col(c).alias(f"{side}_{c}") for c in columns]).repartition(tasks, f"{side}_key") for side, t in (("a", left), ("b", right)))
+    x, y = ({c: F.col(f"{side}_{c}") for c in columns} for side in "ab")
+    pairs = left.join(right.hint("merge"), (F.col("a_key") == F.col("b_key")) & _may_reach(x, y, least))
+    pairs = pairs.groupBy(F.col("a_id").alias("new_id"), F.col("b_id").alias("master_id")).agg(F.min("a_rank").alias("rank"))
     for side, who, t in ((0, "new_id", "t"), (1, "master_id", "m_t")):
-        pairs = pairs.join(facts.where(F.col("side") == side).select(F.col("id_").alias(who), F.col("t").alias(t), F.col("b").alias(f"{t}_b"), _letters(F.col("t")).alias(f"{t}_l")), who)
-    pairs = pairs.where(may_reach(F.col("t"), F.col("m_t"), F.col("t_l"), F.col("m_t_l"), least))
-    rank = F.coalesce(*[F.when(F.col("t_b")[i] == F.col("m_t_b")[i], F.lit(i)) for i in range(len(BLOCKS))])
-    return pairs.withColumn("similarity", jaro_winkler(F.col("t"), F.col("m_t"))).where(F.col("similarity") >= least).select("new_id", "master_id", rank.alias("rank"), "similarity")
+        pairs = pairs.join(titled.where(F.col("side") == side).select(F.col("id").alias(who), F.col("t").alias(t)), who)
+    return pairs.withColumn("similarity", jaro_winkler(F.col("t"), F.col("m_t"))).where(F.col("similarity") >= least).select("new_id", "master_id", "rank", "similarity")
 
 
 def match_incoming(new: DataFrame, master: DataFrame, possible: float = 0.965, probable: float = 0.985, with_doi: float = 0.90) -> DataFrame:

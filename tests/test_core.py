@@ -5,7 +5,7 @@ from skerry.functions import text as X
 from skerry.operators import metrics as M
 from skerry.operators import relational as R
 from skerry.operators.classify import classify_records, flatten_responses, keyword_classifier
-from skerry.operators.incoming import jaro_winkler_pair, match_incoming
+from skerry.operators.incoming import jaro_winkler_pair, match_incoming, near_pairs
 from skerry.sources.delimited import read_csv, read_padded_tsv, write_csv
 from skerry.sources.ris import read_ris
 from skerry.streaming.incremental import run_available
@@ -70,6 +70,15 @@ def test_incoming(spark):
     assert got == {10: ("duplicate", 1), 11: ("duplicate", 1), 12: ("doi_conflict_review", 2), 13: ("possible_duplicate", 3), 14: ("probable_duplicate", 1), 15: ("new", None), 16: ("possible_duplicate", 1)}
 
 
+def test_near_titles_need_no_common_word(spark):
+    """All pairs of a block are compared, by one row for each title and block."""
+    rows = [(i, t, None, 2001, "", t[:24], "") for i, t in enumerate(["environmental contaminants", "enviornmental contamiannts", "salmon 88 9 " + "a" * 90, "salmon 98 8 " + "a" * 89])]
+    df = spark.createDataFrame(rows, "id int, title_key string, doi_key string, year int, author_key string, title_prefix string, token_key string")
+    pairs = near_pairs(df, df, 0.965)
+    assert "explode(array_distinct" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.new_id, r.master_id, r.rank) for r in pairs.collect()} == {(i, j, 0) for i in range(4) for j in range(4) if i // 2 == j // 2}
+
+
 def test_classifier_errors_are_rows(spark):
     df = spark.createDataFrame([(1, "lice and feed"), (2, None), (3, "boom")], "k int, t string")
     base = keyword_classifier({"P1": ["lice"], "P2": ["feed", "lice"]})
