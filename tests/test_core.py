@@ -6,6 +6,7 @@ from skerry.operators import metrics as M
 from skerry.operators import relational as R
 from skerry.operators.classify import classify_records, flatten_responses, keyword_classifier
 from skerry.operators.incoming import jaro_winkler_pair, match_incoming, near_pairs
+from skerry.plans.evaluation import delivery_audit
 from skerry.sources.delimited import read_csv, read_padded_tsv, write_csv
 from skerry.sources.ris import read_ris
 from skerry.streaming.incremental import run_available
@@ -79,6 +80,12 @@ def test_near_titles_need_no_common_word(spark):
     assert {(r.new_id, r.master_id, r.rank) for r in pairs.collect()} == {(i, j, 0) for i in range(4) for j in range(4) if i // 2 == j // 2}
 
 
+def test_delivery_audit_compares_all_titles_of_a_year(spark, tmp_path):
+    rows = [(1, "Environmental contaminants", None, None, 0, 2001), (2, "Enviornmental contamiannts", None, None, 1, 2001), (3, "Another title", None, None, 1, 2001), (4, "Another title", None, None, 1, 2001)]
+    spark.createDataFrame(rows, "record_sequence int, title string, authors string, doi string, batch_no int, year int").write.parquet(str(tmp_path / "clean_records.parquet"))
+    assert {(r.batch_no, r.fate, r.n) for r in delivery_audit(spark, str(tmp_path)).collect()} == {(1, "possible_duplicate", 1), (1, "new", 1), (1, "repeated_in_delivery", 1)}
+
+
 def test_classifier_errors_are_rows(spark):
     df = spark.createDataFrame([(1, "lice and feed"), (2, None), (3, "boom")], "k int, t string")
     base = keyword_classifier({"P1": ["lice"], "P2": ["feed", "lice"]})
