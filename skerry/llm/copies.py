@@ -169,7 +169,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, values: list[str],
     1 / ``hot``, are broadcast and their rows stay where they are; the other keys are shuffled, and spread evenly."""
     often = F.col("n") > F.lit(hot * total)
     most = F.broadcast(groups.where(often).select(key, *values))
-    rest = rows.join(most.select(key), key, "left_anti").join(groups.where(~often).select(key, *values), key, "left")
+    rest = rows.join(most.select(key), key, "left_anti").join(groups.where(~often).select(key, *values).hint("merge"), key, "left")
     return rows.join(most, key).unionByName(rest)
 
 

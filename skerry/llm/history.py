@@ -43,8 +43,9 @@ from skerry.sources.tables import materialize, release, shared_path
 SHORT = 5
 #: Times ``hot`` that records may share a hot key and a title word before names are asked for as well.
 CROWDED = 10
-#: Rows a side may have to be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows a side may have to be broadcast; larger sides are shuffled.  A million record numbers take 140 MB of the driver for each
+#: join, and joins of one query are built at once.  All other joins have a merge hint: a file of a few MB holds numbers enough.
+BROADCAST_ROWS = 200_000
 
 _SERIES = re.compile(r"\b(?:part|pt|parte|partie|teil|del|volume|vol)\b\.?\s*([ivxlc]+|\d+)\b|\b((?:1[89]|20)\d\d)\b", re.I)
 _NOTE = re.compile(r"[\[(][^\])]*\b(?:version|v|rev|revision|press|first|online|paper|preprint)\b[^\])]*[\])]", re.I)
@@ -107,7 +108,7 @@ def title_words(df: DataFrame) -> DataFrame:
     that have 30 % of the shorter one's words in common share one that is ``rare`` in the shorter, and the first
     that they share is such a one."""
     each = df.select("record_sequence", F.explode(F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " "))).alias("t")).where("t <> ''")
-    each = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t")
+    each = each.join(_few(materialize(each.groupBy("t").agg(F.count("*").alias("n")), "word-counts")), "t")
     lists = each.groupBy("record_sequence").agg(F.array_sort(F.collect_list(F.struct("n", "t")))["t"].alias("ws"))
     last_rare = F.size("ws") - F.ceil(F.lit(0.3) * F.size("ws"))
     return lists.select("record_sequence", "ws", F.posexplode("ws").alias("place", "t")).select("record_sequence", "ws", "t", (F.col("place") <= last_rare).alias("rare"))
@@ -209,15 +210,16 @@ def same_publication(a: tuple[str, str, str, str], b: tuple[str, str, str, str],
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, broadcast if its rows are few enough, else joined by merging."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _likely(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     """The pairs with equal series marks and the title words in common that ``same_publication`` asks for."""
     titles = titles.select("record_sequence", "series", F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " ")).alias("t"))
+    pairs = _few(pairs)
     for k in "ab":
-        pairs = pairs.join(titles.withColumnsRenamed({"record_sequence": k, "series": f"{k}_series", "t": f"{k}_t"}), k)
+        pairs = pairs.join(titles.withColumnsRenamed({"record_sequence": k, "series": f"{k}_series", "t": f"{k}_t"}).hint("merge"), k)
     common = F.size(F.array_intersect("a_t", "b_t")) >= F.lit(0.3) * F.least(F.size("a_t"), F.size("b_t"))
     return pairs.where((F.col("a_series") == F.col("b_series")) & common).select("a", "b")
 
@@ -228,7 +230,7 @@ def _fields_of(pairs: DataFrame, store: DataFrame, fields: list[str], name: str)
     needed = materialize(store.select("record_sequence", *fields).join(_few(ids), "record_sequence", "left_semi"), name)
     release(ids)
     for k in "ab":
-        pairs = pairs.join(needed.select(F.col("record_sequence").alias(k), *[F.col(f).alias(f"{k}_{f}") for f in fields]), k)
+        pairs = pairs.join(needed.select(F.col("record_sequence").alias(k), *[F.col(f).alias(f"{k}_{f}") for f in fields]).hint("merge"), k)
     return pairs.select("a", "b", *[f"{k}_{f}" for k in "ab" for f in fields]), needed
 
 
@@ -315,7 +317,7 @@ class History:
         total = rows.count()
         # entries: records that are equal up to form; an entry's node is its first record
         seen = self.read("entries", before).select("fp", F.col("node").alias("known"))
-        mine = rows.groupBy("fp").agg(F.min(F.struct("record_sequence", "canon", "form")).alias("m"), F.count("*").alias("n")).join(seen, "fp", "left")
+        mine = rows.groupBy("fp").agg(F.min(F.struct("record_sequence", "canon", "form")).alias("m"), F.count("*").alias("n")).join(seen.hint("merge"), "fp", "left")
         mine = mine.select("fp", F.coalesce("known", "m.record_sequence").alias("node"), F.xxhash64("m.canon").alias("canon_hash"), "m.canon", "m.form", "n", F.col("known").isNull().alias("fresh"))
         mine = materialize(mine, "batch-entries")
         fresh = self._write(mine.where("fresh").drop("fresh"), "entries", batch)
@@ -326,7 +328,7 @@ class History:
         # classes: texts that agree in all that is compared
         found = nodes.where("cls is not null").groupBy("cls").agg(F.min(F.struct("record_sequence", "node")).alias("m"), F.count("*").alias("n"))
         known = self.read("classes", before).select("cls", F.col("node").alias("known"))
-        found = materialize(found.join(known, "cls", "left").select("cls", "m.record_sequence", F.coalesce("known", "m.node").alias("head"), "n", F.col("known").isNull().alias("fresh")), "batch-classes")
+        found = materialize(found.join(known.hint("merge"), "cls", "left").select("cls", "m.record_sequence", F.coalesce("known", "m.node").alias("head"), "n", F.col("known").isNull().alias("fresh")), "batch-classes")
         heads = self._write(found.where("fresh").select("cls", "record_sequence", F.col("head").alias("node")), "classes", batch)
         same = with_groups(nodes.where("cls is not null").select("cls", "node"), found, "cls", ["head"], total)
         links = links.unionByName(same.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
@@ -345,9 +347,9 @@ class History:
             stored = stored.join(_few(fresh.select("canon_hash").distinct()), "canon_hash", "left_semi")
         both = fresh.unionByName(stored)
         several = both.groupBy("canon_hash").agg(F.count("*").alias("k")).where("k > 1")
-        both = materialize(both.join(several, "canon_hash", "left_semi").withColumn("first_sequence", F.col("node")), "like-entries")
+        both = materialize(both.join(several.hint("merge"), "canon_hash", "left_semi").withColumn("first_sequence", F.col("node")), "like-entries")
         groups = count_buckets(radix_buckets(both.select("fp", "canon", "form", "n", "first_sequence"), self.capacity))
-        return both.select("fp", "node").join(groups.select("fp", "first_sequence"), "fp").where("node <> first_sequence").select(F.col("node").alias("a"), F.col("first_sequence").alias("b"))
+        return both.select("fp", "node").join(groups.select("fp", "first_sequence").hint("merge"), "fp").where("node <> first_sequence").select(F.col("node").alias("a"), F.col("first_sequence").alias("b"))
 
     def _candidates(self, new: DataFrame, batches: list[int]) -> DataFrame:
         """Pairs ``a`` < ``b`` of a new record and an indexed one (or two new ones) that share a key."""
@@ -365,7 +367,7 @@ class History:
         lists = cold.groupBy("key").agg(F.collect_list(F.struct("r", "old")).alias("holders"))
         if some:
             lists = lists.unionByName(hot.withColumn("holders", F.lit(None)), allowMissingColumns=True)
-        hits = lists.join(asked, "key")
+        hits = lists.join(asked if few else asked.hint("merge"), "key")
         if some:
             hits = materialize(hits, "key-hits")
         pairs = hits.select("p", F.inline("holders"))
@@ -380,18 +382,18 @@ class History:
         these are many too a form of a name: all that ``same_publication`` would accept are among them."""
         ids = materialize(asked.select(F.col("p").alias("record_sequence")).unionByName(met.select(F.col("r").alias("record_sequence"))).distinct(), "hot-records")
         facts = materialize(self.read("contents", self.parts("contents")).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
-        titles = materialize(title_words(facts).join(facts.select("record_sequence", "series"), "record_sequence"), "hot-titles")
+        titles = materialize(title_words(facts).join(facts.select("record_sequence", "series").hint("merge"), "record_sequence"), "hot-titles")
         on = ["key", "t", "series"]
-        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p", "ws": "ws_p"}), "p")
-        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r", "ws": "ws_r"}), "r")
+        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p", "ws": "ws_p"}).hint("merge"), "p")
+        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r", "ws": "ws_r"}).hint("merge"), "r")
         # a pair goes on from the first word it shares, if it shares enough
         common = F.array_intersect("ws_p", "ws_r")
         met_here = (F.col("rare_p") | F.col("rare_r")) & (F.get(common, F.lit(0)) == F.col("t")) & (F.size(common) >= F.lit(0.3) * F.least(F.size("ws_p"), F.size("ws_r")))
         crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * self.hot).select(*on), "crowded-words")
         if crowded.isEmpty():
-            return have.join(ask, on).where(met_here).select("p", "r", "old")
+            return have.join(ask.hint("merge"), on).where(met_here).select("p", "r", "old")
         crowd = _few(crowded)
-        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti"), on).where(met_here).select("p", "r", "old")
+        plain = have.join(crowd, on, "left_anti").join(ask.join(crowd, on, "left_anti").hint("merge"), on).where(met_here).select("p", "r", "old")
 
         def named(df: DataFrame, asking: bool) -> DataFrame:
             def make(rows: Iterator[list[list]]) -> Iterator[list[tuple]]:
@@ -400,10 +402,10 @@ class History:
 
             who = "p" if asking else "r"
             inside = df.join(crowd, on, "left_semi")
-            keys = map_lists(facts.join(inside.select(F.col(who).alias("record_sequence")).distinct(), "record_sequence", "left_semi").select("record_sequence", "people"), make, f"{who} int, w string")
-            return inside.join(keys, who)
+            keys = map_lists(facts.join(inside.select(F.col(who).alias("record_sequence")).distinct().hint("merge"), "record_sequence", "left_semi").select("record_sequence", "people"), make, f"{who} int, w string")
+            return inside.join(keys.hint("merge"), who)
 
-        close = named(have, False).join(named(ask, True), [*on, "w"]).where(met_here).select("p", "r", "old")
+        close = named(have, False).join(named(ask, True).hint("merge"), [*on, "w"]).where(met_here).select("p", "r", "old")
         return plain.unionByName(close)
 
     def verify(self) -> None:
@@ -425,14 +427,14 @@ class History:
         node = self.read("classes", self.accepted).select("record_sequence", "node")
         links = self.read("links", self.parts("links"))
         for k in "ab":
-            links = links.join(node.withColumnsRenamed({"record_sequence": k, "node": f"n{k}"}), k)
+            links = links.join(node.withColumnsRenamed({"record_sequence": k, "node": f"n{k}"}).hint("merge"), k)
         links = links.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(self.read("forms", self.accepted))
         groups = connected_components(links)
         per = members.groupBy("node").agg(F.min("record_sequence").alias("s"), F.min("batch_no").alias("b"), F.count("*").alias("n"))
-        per = materialize(per.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component"), "nodes")
+        per = materialize(per.join(groups.hint("merge"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component"), "nodes")
         first = per.groupBy("g").agg(F.min("s").alias("first_sequence"), F.min("b").alias("first_batch"), F.sum("n").alias("size")).where("size > 1")
         # single records are their own first; the others find theirs by their node
-        known = materialize(per.join(first, "g").select("node", "n", "first_sequence", "first_batch"), "first-records")
+        known = materialize(per.join(first.hint("merge"), "g").select("node", "n", "first_sequence", "first_batch"), "first-records")
         out = with_groups(members, known, "node", ["first_sequence", "first_batch"], members.count())
         return out.select("record_sequence", "batch_no", F.coalesce("first_sequence", "record_sequence").alias("first_sequence"), F.coalesce("first_batch", "batch_no").alias("first_batch"))
 

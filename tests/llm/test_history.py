@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -196,3 +197,25 @@ def test_name_keys_lose_no_pair():
         a, b = ("\n".join(" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 2))) for _ in "ab")
         if _same_people(a, b):
             assert name_keys(a, True) & name_keys(b, False), (a, b)
+
+
+def test_no_join_is_broadcast_by_the_size_of_its_files(spark, monkeypatch):
+    """Files of a few MB hold a million record numbers, which as hash tables take the driver's memory: what is broadcast is counted."""
+    from skerry.llm import components, history
+
+    joins = []
+
+    def note(df):
+        joins.extend(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if re.search(r"\bJoin (Inner|Left)", x))
+
+    write = History._write
+    monkeypatch.setattr(History, "_write", lambda self, df, *a: (note(df), write(self, df, *a))[1])
+    for module in (history, components):
+        monkeypatch.setattr(module, "materialize", lambda df, name, f=module.materialize: (note(df), f(df, name))[1])
+    monkeypatch.setattr(history, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame(batches_of_records(), SCHEMA)
+    got = publications(df, hot=1)
+    note(got)
+    assert len(joins) > 20 and [x for x in joins if "strategy=" not in x] == []
+    monkeypatch.undo()
+    assert result(got) == result(publications(df))
