@@ -37,7 +37,7 @@ from skerry.llm.editdist import distance, probes, segments
 from skerry.llm.lookalikes import Rewriter, lookalike_classes, token_statistics
 from skerry.llm.records import hash128, sentences, words
 from skerry.operators.multivalue import split_authors
-from skerry.sources.tables import materialize, release, shared_path
+from skerry.sources.tables import drop_shuffles, materialize, release, shared_path
 
 #: Sentences with fewer words are looked up only in records that have no longer ones.
 SHORT = 5
@@ -104,10 +104,10 @@ def segment_keys(df: DataFrame, edits: int, ask: bool) -> DataFrame:
 
 
 def title_words(df: DataFrame) -> DataFrame:
-    """``record_sequence, ws, t, rare``: the distinct words of each title, the rarest first, and each of them.  Two titles
+    """``record_sequence, ws, t, rare``: the distinct words of each title as hashes, the rarest first, and each of them.  Two titles
     that have 30 % of the shorter one's words in common share one that is ``rare`` in the shorter, and the first
     that they share is such a one."""
-    each = df.select("record_sequence", F.explode(F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " "))).alias("t")).where("t <> ''")
+    each = df.select("record_sequence", F.explode(F.array_distinct(F.split(F.split_part("form", F.lit("|"), F.lit(1)), " "))).alias("t")).where("t <> ''").withColumn("t", F.xxhash64("t"))
     each = each.join(_few(materialize(each.groupBy("t").agg(F.count("*").alias("n")), "word-counts")), "t")
     lists = each.groupBy("record_sequence").agg(F.array_sort(F.collect_list(F.struct("n", "t")))["t"].alias("ws"))
     last_rare = F.size("ws") - F.ceil(F.lit(0.3) * F.size("ws"))
@@ -251,9 +251,11 @@ def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
     joined, read = _fields_of(likely, store, ["form", "people"], "candidate-heads")
     near = materialize(map_lists(joined, heads, "a int, b int"), "near-pairs")
     release(likely, read)
+    drop_shuffles(store.sparkSession)
     joined, read = _fields_of(near, store, ["body"], "candidate-texts")
     found = materialize(map_lists(joined, bodies, "a int, b int"), "verified-pairs")
     release(near, read)
+    drop_shuffles(store.sparkSession)
     return found
 
 
@@ -333,10 +335,13 @@ class History:
         same = with_groups(nodes.where("cls is not null").select("cls", "node"), found, "cls", ["head"], total)
         links = links.unionByName(same.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
         self._write(links.distinct(), "forms", batch)
+        drop_shuffles(self.spark)
         # texts of the new classes go into the index
         new = rows.join(_few(heads.select("record_sequence")), "record_sequence", "left_semi")
         self._write(segment_keys(new, self.edits, ask=False), "index", batch)
+        drop_shuffles(self.spark)
         self._write(self._candidates(new, [*before, batch]), "candidates", batch)
+        drop_shuffles(self.spark)
         release(mine, nodes, found)
         self._write(self.spark.createDataFrame([(b,) for b in batches], TABLES["accepted"]), "accepted", batch)
 
@@ -370,6 +375,7 @@ class History:
         hits = lists.join(asked if few else asked.hint("merge"), "key")
         if some:
             hits = materialize(hits, "key-hits")
+            drop_shuffles(self.spark)
         pairs = hits.select("p", F.inline("holders"))
         if some:
             pairs = pairs.unionByName(self._hot_pairs(hits.where("holders is null").select("key", "p"), met.join(least, "key", "left_semi")))
@@ -383,12 +389,13 @@ class History:
         ids = materialize(asked.select(F.col("p").alias("record_sequence")).unionByName(met.select(F.col("r").alias("record_sequence"))).distinct(), "hot-records")
         facts = materialize(self.read("contents", self.parts("contents")).select("record_sequence", "form", "series", "people").join(_few(ids), "record_sequence", "left_semi"), "hot-facts")
         titles = materialize(title_words(facts).join(facts.select("record_sequence", "series").hint("merge"), "record_sequence"), "hot-titles")
-        on = ["key", "t", "series"]
-        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p", "ws": "ws_p"}).hint("merge"), "p")
-        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r", "ws": "ws_r"}).hint("merge"), "r")
+        on = ["k"]  # a hash of all that must agree: what meets by chance is compared again
+        ask = asked.join(titles.withColumnsRenamed({"record_sequence": "p", "rare": "rare_p", "ws": "ws_p"}).hint("merge"), "p").select("p", F.xxhash64("key", "t", "series").alias("k"), "t", "rare_p", "ws_p")
+        have = met.join(titles.withColumnsRenamed({"record_sequence": "r", "rare": "rare_r", "ws": "ws_r"}).hint("merge"), "r").select("r", "old", F.xxhash64("key", "t", "series").alias("k"), "rare_r", "ws_r")
         # a pair goes on from the first word it shares, if it shares enough
         common = F.array_intersect("ws_p", "ws_r")
         met_here = (F.col("rare_p") | F.col("rare_r")) & (F.get(common, F.lit(0)) == F.col("t")) & (F.size(common) >= F.lit(0.3) * F.least(F.size("ws_p"), F.size("ws_r")))
+        drop_shuffles(self.spark)
         crowded = materialize(have.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * self.hot).select(*on), "crowded-words")
         if crowded.isEmpty():
             return have.join(ask.hint("merge"), on).where(met_here).select("p", "r", "old")

@@ -54,6 +54,11 @@ def release(*tables: DataFrame) -> None:
         drop_shared(df.sparkSession, df._shared_path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries: it does so when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_shared(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder."""
     jvm = spark._jvm
