@@ -132,7 +132,7 @@ def match_incoming(new: DataFrame, master: DataFrame, possible: float = 0.965, p
     title; DOI with a similar title; near title that shares year, author, prefix or first words; DOI
     where a title is missing; DOI with another title.  Ties go to the smallest master id.  Of equal titles
     under one key only the smallest master goes on, so repeated masters do not multiply, and similarity is
-    computed once a pair.
+    computed once a pair; near titles are compared once for all records that repeat a title with the same blocks.
     """
     masters = master.groupBy("title_key").agg(F.min("id").alias("master_id"))
     exact = new.where("title_key <> ''").join(masters.where("title_key <> ''"), "title_key").select(F.col("id").alias("new_id"), "master_id", F.lit(1).alias("priority"), F.lit("duplicate").alias("status"), F.lit("exact title").alias("basis"), F.lit(1.0).alias("similarity"))
@@ -146,8 +146,14 @@ def match_incoming(new: DataFrame, master: DataFrame, possible: float = 0.965, p
     status = F.when(F.col("priority") == 2, "duplicate").when(F.col("priority") == 5, "possible_duplicate").otherwise("doi_conflict_review")
     doi = asked.join(best, ["doi_key", "title_key"]).select("new_id", "master_id", "priority", status.alias("status"), F.lit("doi").alias("basis"), (-F.col("s")).alias("similarity"))
     rest = new.join(exact.select(F.col("new_id").alias("id")), "id", "left_anti")
-    # masters with one title differ in their blocks, so they stay apart here
-    near = near_pairs(rest, master, possible)
+    # records with one title and the same blocks meet the same masters: the first of them is compared, with the first of such masters
+    alike = ["title_key", *BLOCKS]
+    rest = rest.where("title_key <> ''").select("id", *alike, F.min("id").over(W.partitionBy(*alike)).alias("like"))
+    rest = materialize(rest, "like-titles")
+    near = near_pairs(rest.where("id = like").drop("like").distinct(), master.where("title_key <> ''").groupBy(*alike).agg(F.min("id").alias("id")), possible)
+    # of these the best is the same for all that are alike
+    near = near.groupBy("new_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "master_id", "rank")).alias("x")).select(F.col("new_id").alias("like"), (-F.col("x.s")).alias("similarity"), "x.master_id", "x.rank")
+    near = rest.select(F.col("id").alias("new_id"), "like").distinct().join(near, "like")
     basis = F.element_at(F.array(*[F.lit(b) for b in ("same year", "same author", "title prefix", "first words")]), F.col("rank") + 1)
     near = near.select("new_id", "master_id", F.when(F.col("similarity") >= probable, 3).otherwise(4).alias("priority"), F.when(F.col("similarity") >= probable, "probable_duplicate").otherwise("possible_duplicate").alias("status"), basis.alias("basis"), "similarity")
     found = exact.unionByName(doi).unionByName(near)

@@ -86,6 +86,26 @@ def test_delivery_audit_compares_all_titles_of_a_year(spark, tmp_path):
     assert {(r.batch_no, r.fate, r.n) for r in delivery_audit(spark, str(tmp_path)).collect()} == {(1, "possible_duplicate", 1), (1, "new", 1), (1, "repeated_in_delivery", 1)}
 
 
+def test_repeated_titles_are_compared_once(spark, monkeypatch):
+    from skerry.operators import incoming
+
+    met = []
+
+    def pairs(*a, f=incoming.near_pairs):
+        met.append(f(*a))
+        return met[-1]
+
+    monkeypatch.setattr(incoming, "near_pairs", pairs)
+    schema = "id int, title_key string, doi_key string, year int, author_key string, title_prefix string, token_key string"
+    a, b = "growth of atlantic salmon smolts in closed sea pens", "growth of atlantic salmon smolts in closed sea penz"
+    master = [(i, a, None, 2001 if i % 2 else None, "berg", a[:24], "x") for i in range(1, 31)]
+    new = [(i, b, None, 2001 if i % 3 else 2002, "" if i % 2 else "berg", b[:24], "x") for i in range(100, 130)]
+    got = {r.new_id: (r.master_id, r.basis, r.status) for r in match_incoming(spark.createDataFrame(new, schema), spark.createDataFrame(master, schema)).collect()}
+    first = lambda i: "same year" if i % 3 else "title prefix" if i % 2 else "same author"
+    assert got == {i: (1, first(i), "probable_duplicate") for i in range(100, 130)}
+    assert met[0].count() <= 4 * 2  # four kinds of new records, two of masters, each 30 times
+
+
 def test_classifier_errors_are_rows(spark):
     df = spark.createDataFrame([(1, "lice and feed"), (2, None), (3, "boom")], "k int, t string")
     base = keyword_classifier({"P1": ["lice"], "P2": ["feed", "lice"]})
